@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkstrata.llm import lookalike, refine
+from linkstrata.llm import lookalike, refine, splits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_overlaps(_t(spark, d, "mentions")).select("id_a", "id_b")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.overlap_report(_t(spark, d, "mentions"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return refine.formatting_copies(refine.records(_t(spark, d, "mentions"), _t(spark, d, "raw_mention"))).select("first_id", "copy_id")
 
@@ -20,5 +28,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.twin_pairs(lookalike.twin_classes(_t(spark, d, "mentions"), "row_id", ["mentions", "sentence"]))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
