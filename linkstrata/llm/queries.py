@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkstrata.llm import lookalike, refine, splits
+from linkstrata.llm import lookalike, names, refine, splits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.overlap_report(_t(spark, d, "mentions"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    known = _t(spark, d, "kb_entity").select("qid", "entity_name").unionByName(_t(spark, d, "seed_entity").select("qid", "entity_name"))
+    return names.link_names(_t(spark, d, "mentions").select("row_id", "mentions", "answer", "cands"), known)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return refine.formatting_copies(refine.records(_t(spark, d, "mentions"), _t(spark, d, "raw_mention"))).select("first_id", "copy_id")
 
@@ -28,5 +33,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.twin_pairs(lookalike.twin_classes(_t(spark, d, "mentions"), "row_id", ["mentions", "sentence"]))
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
