@@ -47,3 +47,11 @@ def join_by_count(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, t
     return rows.join(F.broadcast(hot), keys).unionByName(
         rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     )
+
+
+def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``table`` with a broadcast hint if it has at most ``rows`` rows, else as it is, to be joined by shuffle.
+
+    Meant for staged tables of keys (8 to 40 bytes a row), so the broadcast is below about 20 MB.
+    """
+    return F.broadcast(table) if table.count() <= rows else table
