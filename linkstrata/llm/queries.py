@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkstrata.llm import lookalike, names, refine, splits
+from linkstrata.llm import graph, lookalike, names, refine, splits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.link_names(_t(spark, d, "mentions").select("row_id", "mentions", "answer", "cands"), known)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    cache = _t(spark, d, "entity_cache")
+    return graph.nearest_pairs(cache, "cache_id", ["text_cls", "image_cls"]).select("field", "id_a", "id_b")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return refine.formatting_copies(refine.records(_t(spark, d, "mentions"), _t(spark, d, "raw_mention"))).select("first_id", "copy_id")
 
@@ -33,5 +38,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.twin_pairs(lookalike.twin_classes(_t(spark, d, "mentions"), "row_id", ["mentions", "sentence"]))
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
