@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkstrata.llm import graph, lookalike, names, refine, splits
+from linkstrata.llm import graph, lookalike, names, refine, splits, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(_t(spark, d, "crawl_entities"), "crawl_id", "desc", "source").filter("cut").select("crawl_id")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(_t(spark, d, "crawl_entities"), "crawl_id", "desc", "source")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_overlaps(_t(spark, d, "mentions")).select("id_a", "id_b")
 
@@ -38,5 +46,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.twin_pairs(lookalike.twin_classes(_t(spark, d, "mentions"), "row_id", ["mentions", "sentence"]))
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
