@@ -18,7 +18,7 @@ KNOWN_SHARE = 5e-4
 """A word in at least this share of the texts is known: at most a text's mean number of words / KNOWN_SHARE words."""
 LIMIT_SHARE = 0.01
 ROUNDS = 3
-CUT_WEIGHT = 0.6
+CUT_WEIGHT = 0.4
 """Weight of a cut against a whole text, as each whole text gives up to three cuts."""
 
 # How shortened texts are marked.
