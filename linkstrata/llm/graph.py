@@ -9,17 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkstrata.plans.staging import join_by_count, stage
+from linkstrata.plans.staging import join_by_count, small, stage
 
 SHARD = 2000
 MOST_SHARDS = 4096
 SAMPLE = 12_000
 PROBES = 2
-DEGREE = 20
+DEGREE = 24
 BEAM = 40
-WIDTH = 4
-ALPHA = 1.2
-KEEP = 8
+WIDTH = 8
+ALPHA = 1.1
+ENTRIES = 256
+KEEP = 6
 
 
 def pack(v: np.ndarray) -> list[bytes]:
@@ -72,7 +73,7 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
 class Graph:
     """Directed graph over the rows of a shard. Distances are taken from its matrix of inner products.
 
-    Points are inserted in batches that double. For each a greedy beam search from the entry point proposes
+    Points are inserted in batches that double. For each a greedy beam search from the entry points proposes
     the nodes it met; robust pruning keeps a node only if no kept one is ALPHA times nearer to it than the point is;
     the reverse edges are added and pruned in the same way.
     """
@@ -81,10 +82,13 @@ class Graph:
         n = len(sims)
         self.sims = sims
         self.out = np.full((n, DEGREE), -1, np.int32)
-        self.entry = 0
         order = np.random.default_rng(n).permutation(n).astype(np.int32)
-        self.entry = int(order[0])
-        done, size = 1, 1
+        self.entry = order[: min(n, ENTRIES)]
+        done = len(self.entry)
+        size = done
+        at = self.entry[: min(done, DEGREE)]
+        for i, x in enumerate(self.entry):
+            self.out[x, : len(at) - (i < len(at))] = at[at != x]
         while done < n:
             batch = order[done : done + size]
             _, _, met = self.search(self.sims[batch], BEAM)
@@ -138,14 +142,14 @@ class Graph:
         q, n = sims.shape
         rows = np.arange(q)[:, None]
         seen = np.zeros((q, n + 1), bool)
-        seen[:, self.entry] = True
         seen[:, n] = True  # where -1 points
         ids = np.full((q, beam), -1, np.int32)
         val = np.full((q, beam), -np.inf, np.float32)
-        ids[:, 0], val[:, 0] = self.entry, sims[:, self.entry]
-        todo = np.zeros((q, beam), bool)
-        todo[:, 0] = True
-        met = [ids[:, :1].copy()]
+        score = sims[:, self.entry]
+        by = np.argsort(-score, axis=1)[:, :beam]
+        ids[:, : by.shape[1]], val[:, : by.shape[1]] = self.entry[by], np.take_along_axis(score, by, 1)
+        seen[:, self.entry] = True
+        todo = ids >= 0
         for _ in range(4 * beam):
             take = todo & (np.cumsum(todo, axis=1) <= WIDTH)
             if not take.any():
@@ -209,71 +213,79 @@ def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
     centre = centroids(unit(sample).astype(np.float32), cells)
     probes = min(PROBES, cells)
 
-    def assign(batches):
-        known: set[bytes] = set()
+    def place(v: np.ndarray) -> np.ndarray:
+        return np.argsort(-(unit(v).astype(np.float32) @ centre.T), axis=1, kind="stable")[:, :probes]
+
+    def describe(batches):
         for b in batches:
             at, v = _matrix(b.column("v"), dim)
-            u = unit(v)
-            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in u]
-            near = np.argsort(-(u.astype(np.float32) @ centre.T), axis=1, kind="stable")[:, :probes] if len(at) else np.zeros((0, probes), int)
-            fresh = [d not in known and not known.add(d) for d in digest]
-            if len(known) > 500_000:
-                known.clear()
+            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in unit(v)]
+            cell = place(v)[:, 0] if len(at) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(digest, pa.binary()), pa.array(cell, pa.int32())], names=["id", "digest", "cell"])
+
+    # Which rows are copies, and how many nodes each cell has; the vectors are read again for sending, which is less than to keep them.
+    ids = stage(data.mapInArrow(describe, "id long, digest binary, cell int"), "p4-ids")
+    groups = ids.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("cell").alias("cell"))
+    groups = stage(groups, "p4-groups")
+    sizes = dict(groups.groupBy("cell").count().collect())
+    parts = np.array([max(1, -(-sizes.get(c, 0) // (2 * SHARD))) for c in range(cells)])
+    nodes = join_by_count(ids, groups.select("digest", "node", "n"), ["digest"], "n", total).select("id", "node", "n")
+    nodes = stage(nodes, "p4-nodes")
+    dropped = stage(nodes.filter("id <> node").select("id"), "p4-dropped")
+    single = data.join(small(dropped), "id", "left_anti") if dropped.head(1) else data
+
+    def send(batches):
+        for b in batches:
+            at, v = _matrix(b.column("v"), dim)
+            if not len(at):
+                continue
+            near, load = place(v), pack(v)
+            own = b.column("id").take(pa.array(at)).to_numpy()
+            lot = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            rows = [(int(c), p, i, r == 0 and p == int(lot[i]) % parts[c]) for i, cs in enumerate(near) for r, c in enumerate(cs) for p in range(parts[c])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("id").take(pa.array(at)),
-                    pa.array(digest, pa.binary()),
-                    pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())),
-                    pa.array([p if f else None for p, f in zip(pack(v) if len(at) else [], fresh)], pa.binary()),
+                    pa.array([c * 65536 + p for c, p, _, _ in rows], pa.int64()),
+                    pa.array(own[[i for _, _, i, _ in rows]], pa.int64()),
+                    pa.array([bool(x) for _, _, _, x in rows], pa.bool_()),
+                    pa.array([load[i] for _, _, i, _ in rows], pa.binary()),
                 ],
-                names=["id", "node", "cells", "payload"],
+                names=["shard", "node", "base", "payload"],
             )
 
-    placed = data.mapInArrow(assign, "id long, node binary, cells array<int>, payload binary")
-    placed = stage(placed, "p4-placed")
-    ids = placed.select("id", "node")
-    sizes = dict(placed.filter("payload is not null").groupBy(F.col("cells")[0]).count().collect())
-    parts = spark.createDataFrame([(c, -(-n // (2 * SHARD))) for c, n in sizes.items()], "cell int, parts int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    sent = placed.filter("payload is not null").select("node", "payload", F.posexplode("cells").alias("rank", "cell")).join(F.broadcast(parts), "cell")
-    sent = sent.withColumn("own", F.when(F.col("rank") == 0, own).otherwise(F.lit(-1)))
-    sent = sent.select("cell", "node", "payload", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    sent = sent.select("cell", "part", "node", "payload", (F.col("own") == F.col("part")).alias("base"))
-
     def search(table: pa.Table) -> pa.Table:
-        node, base = table.column("node").to_pylist(), np.array(table.column("base").to_pylist())
-        first = {n: i for i, n in reversed(list(enumerate(node)))}  # a copy that another task kept too
-        keep = np.array(sorted(first.values()))
-        keep = np.concatenate([keep[base[keep]], keep[~base[keep]]])
-        n = int(base[keep].sum())
-        v = unit(unpack([table.column("payload")[int(i)].as_py() for i in keep]))
-        name = [node[i] for i in keep]
+        node, base = table.column("node").to_numpy(), table.column("base").to_numpy()
+        order = np.lexsort((node, ~base))
+        node, base = node[order], base[order]
+        n = int(base.sum())
+        raw = table.column("payload").combine_chunks()
+        v = unit(unpack([raw[int(i)].as_py() for i in order]))
         f = v.astype(np.float32)
+        q = c = np.zeros(0, np.int64)
+        exact = np.zeros(0)
         if n:
-            q, c, _ = shard_neighbours(f[:n], f[n:], np.concatenate([np.arange(n), np.full(len(keep) - n, -1)]))
-            exact = np.concatenate([np.einsum("ij,ij->i", v[q[i : i + 4096]], v[c[i : i + 4096]]) for i in range(0, len(q), 4096)] or [np.zeros(0)])
-        else:
-            q, c, exact = [], [], np.zeros(0)
-        return pa.table({"node": pa.array([name[i] for i in q], pa.binary()), "near": pa.array([name[i] for i in c], pa.binary()), "sim": np.round(exact, 9)})
-
-    near = sent.groupBy("cell", "part").applyInArrow(search, "node binary, near binary, sim double").filter("node <> near")
-    # Any node met by either end counts for both: what x finds of y is as true of y.
-    near = stage(near, "p4-near")
-    both = near.unionByName(near.select(F.col("near").alias("node"), F.col("node").alias("near"), "sim")).distinct()
-    w = Window.partitionBy("node").orderBy("id")
-    small = ids.select("node", "id", F.row_number().over(w).alias("r")).filter(f"r <= {k + 1}")
-    small = small.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("first"))
-    copies = ids.groupBy("node").agg(F.count("*").alias("n"))
-    small = stage(small, "p4-first")
-    # k nodes beside one's own are enough unless their similarities tie; ties are kept by rank.
+            q, c, _ = shard_neighbours(f[:n], f[n:], np.concatenate([np.arange(n), np.full(len(node) - n, -1)]))
+            exact = np.concatenate([np.einsum("ij,ij->i", v[q[i : i + 4096]], v[c[i : i + 4096]]) for i in range(0, len(q), 4096)] or [exact])
+        return pa.table({"node": node[q], "near": node[c], "sim": np.round(exact, 9)})
+
+    sent = single.mapInArrow(send, "shard long, node long, base boolean, payload binary")
+    near = stage(sent.groupBy("shard").applyInArrow(search, "node long, near long, sim double"), "p4-near")
+    # What x finds of y is as true of y.
+    both = near.unionByName(near.select(F.col("near").alias("node"), F.col("node").alias("near"), "sim"))
+    both = both.groupBy("node", "near").agg(F.max("sim").alias("sim"))
+    # k + 1 ranks of other nodes are enough unless similarities tie; all that tie are kept.
     close = both.select("node", "near", "sim", F.rank().over(Window.partitionBy("node").orderBy(F.desc("sim"))).alias("r")).filter(f"r <= {k + 1}")
-    lists = close.join(small.withColumnRenamed("node", "near"), "near").select("node", "sim", F.explode("first").alias("other"))
-    lists = lists.unionByName(small.select("node", F.lit(1.0).alias("sim"), F.explode("first").alias("other")))
+    several = nodes.filter("n > 1").select("node", "id", F.row_number().over(Window.partitionBy("node").orderBy("id")).alias("r"))
+    several = several.filter(f"r <= {k + 1}").groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("first"))
+    several = stage(several, "p4-first")
+    first = close.join(small(several).withColumnRenamed("node", "near"), "near", "left")
+    lists = first.select("node", "sim", F.explode(F.coalesce("first", F.array("near"))).alias("other"))
+    lists = lists.unionByName(several.select("node", F.lit(1.0).alias("sim"), F.explode("first").alias("other")))
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
     lists = lists.withColumn("r", F.row_number().over(order)).filter(f"r <= {k + 1}")
     lists = lists.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "other"))).alias("list"))
-    lists = stage(lists.join(copies, "node"), "p4-lists")
-    found = join_by_count(ids, lists, ["node"], "n", total)
+    lists = stage(lists.join(groups.select("node", "n"), "node"), "p4-lists")
+    found = join_by_count(nodes.select("id", "node"), lists, ["node"], "n", total)
     found = found.select("id", F.explode(F.slice(F.filter("list", lambda x: x["other"] != F.col("id")), 1, k)).alias("x"))
     return found.select("id", F.col("x.other").alias("other"), (-F.col("x.far")).alias("sim"))
 
