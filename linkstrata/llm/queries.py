@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkstrata.llm import graph, leaks, lookalike, names, refine, splits, subjects, truncation
+from linkstrata.llm import graph, leaks, lookalike, mixing, names, refine, splits, subjects, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -62,5 +62,13 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return subjects.area_report(_t(spark, d, "documents"), _t(spark, d, "doc_label"), _t(spark, d, "subject_area"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p7_report": p7_report, "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(_t(spark, d, "documents"), _t(spark, d, "mix_target"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(_t(spark, d, "documents"), _t(spark, d, "mix_target"))
+
+
+QUERIES = {"p8_mixture": p8_mixture, "p8_report": p8_report, "p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p7_report": p7_report, "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
