@@ -18,6 +18,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once a row, also where f uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -28,7 +33,7 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """v / max(|v|, 1e-12)."""
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(1e-12)))
+    return let(doubles(v), lambda u: let(F.greatest(norm(u), F.lit(1e-12)), lambda n: F.transform(u, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -42,15 +47,18 @@ def late_fusion(text: Column, image: Column, joint: Column, missing: Column) ->
 
 def softmax_entropy(scores: Column) -> Column:
     """Entropy of the softmax of an array, over ln of its length; null for fewer than two scores."""
-    z = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    total = F.aggregate(z, F.lit(0.0), lambda a, x: a + x)
-    h = F.aggregate(z, F.lit(0.0), lambda a, x: a - (x / total) * F.ln(F.greatest(x / total, F.lit(1e-12))))
+
+    def entropy(z: Column) -> Column:
+        total = F.aggregate(z, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: F.aggregate(z, F.lit(0.0), lambda a, x: a - (x / t) * F.ln(F.greatest(x / t, F.lit(1e-12)))))
+
+    h = let(let(F.array_max(scores), lambda m: F.transform(scores, lambda s: F.exp(s - m))), entropy)
     return F.when(F.size(scores) > 1, h / F.ln(F.size(scores).cast("double")))
 
 
 def softmax_top(scores: Column) -> Column:
     """Softmax probability of the highest score."""
-    return 1 / F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s - F.array_max(scores)))
+    return let(F.array_max(scores), lambda m: 1 / F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s - m)))
 
 
 def tokens(v: Column, n: int, width: int) -> Column:
@@ -70,9 +78,8 @@ def pool(ts: Column, width: int, how: str) -> Column:
         return F.transform(at, lambda i: F.aggregate(ts, F.lit(0.0), lambda s, t: s + F.get(t, i)) / F.size(ts))
     if how == "mlp":
         z = F.transform(ts, lambda t: F.exp(F.aggregate(t, F.lit(0.0), lambda s, x: s + x) / width))
-        total = F.aggregate(z, F.lit(0.0), lambda s, x: s + x)
-        w = F.transform(z, lambda x: x / total)
-        return F.transform(at, lambda i: F.aggregate(F.zip_with(ts, w, lambda t, x: F.get(t, i) * x), F.lit(0.0), lambda s, x: s + x))
+        weights = let(z, lambda y: let(F.aggregate(y, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(y, lambda x: x / t)))
+        return let(weights, lambda w: F.transform(at, lambda i: F.aggregate(F.zip_with(ts, w, lambda t, x: F.get(t, i) * x), F.lit(0.0), lambda s, x: s + x)))
     raise ValueError(f"no pooling named {how}")
 
 
