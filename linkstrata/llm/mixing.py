@@ -34,7 +34,9 @@ def token_counts(documents: DataFrame, text: str = "text", path: str = TOKENIZER
 
     @F.pandas_udf("int")
     def count(s: pd.Series) -> pd.Series:
-        return pd.Series([len(e.ids) for e in _tokenizer(path).encode_batch([x or "" for x in s], add_special_tokens=False)], dtype="int32")
+        t, texts = _tokenizer(path), [x or "" for x in s]
+        few = (texts[i : i + 64] for i in range(0, len(texts), 64))  # encodings are far larger than texts
+        return pd.Series([len(e.ids) for x in few for e in t.encode_batch(x, add_special_tokens=False)], dtype="int32")
 
     return documents.withColumn("tokens", F.coalesce(count(F.col(text)), F.lit(0)))
 
