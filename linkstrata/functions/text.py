@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +31,58 @@ def same_file(c: Column) -> Column:
 def md5_key(*cols: Column) -> Column:
     """16 bytes over the columns, with a separator that none of them holds."""
     return F.unhex(F.md5(F.concat_ws("\u0001", *cols)))
+
+
+def stripped(c: Column) -> Column:
+    """White space of any script cut from both ends; null gives ''."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def composed(title: Column, body: Column, limit: int = 300) -> Column:
+    """'title. body', the body cut to ``limit`` code points; what is blank is left out with its stop."""
+    blank = lambda c: F.nullif(stripped(c), F.lit(""))
+    return F.concat_ws(". ", blank(title), F.nullif(F.left(stripped(body), F.lit(limit)), F.lit("")))
+
+
+def words(c: Column) -> Column:
+    """Number of words parted by white space; null and blank have none."""
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != ""))
+
+
+def junk(title: Column, text: Column) -> Column:
+    """Pages that are lists, disambiguations or shorter than 20 characters. Null titles and texts count as ''."""
+    t = F.coalesce(title, F.lit(""))
+    return F.startswith(t, F.lit("List of")) | F.contains(t, F.lit("(disambiguation)")) | (F.length(stripped(text)) < 20)
+
+
+def plain(c: Column) -> Column:
+    """Lower case, everything but letters, digits, marks and '_' as a blank, blanks collapsed (Unicode classes). Null gives ''."""
+    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{M}\p{N}_\s]", " ")
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+
+
+def unquoted(c: Column) -> Column:
+    """Percent-decoded with '+' kept and underscores as blanks; what can't be decoded stays."""
+    return F.replace(F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c), F.lit("_"), F.lit(" "))
+
+
+def jpg_name(path: Column) -> Column:
+    """File name before its first dot, with .jpg."""
+    return F.concat(F.split(F.element_at(F.split(path, "/"), -1), "[.]")[0], F.lit(".jpg"))
+
+
+def human(n: Column) -> Column:
+    """Bytes with a unit and two decimals."""
+    out = F.format_string("%.2f B", n.cast("double"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(n >= 1024**power, F.format_string(f"%.2f {unit}", n / float(1024**power))).otherwise(out)
+    return out
+
+
+def full_normal(c: Column) -> Column:
+    """HTML escapes resolved, NFKC, then ``plain``: the first two have no expression, so texts pass a pandas UDF."""
+    @F.pandas_udf("string")
+    def resolve(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)))
+
+    return plain(resolve(c))

@@ -55,5 +55,5 @@ def tall(rows: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
 
 def lenient(c: Column, kind: str = "double", default=0) -> Column:
     """A number out of a string, the default where it isn't one; whole numbers are cut towards zero."""
-    d = c.try_cast("double")
+    d = F.when(c.cast("string").rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), c.try_cast("double"))
     return F.coalesce(d if kind == "double" else d.try_cast(kind), F.lit(default).cast(kind))
