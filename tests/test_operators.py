@@ -283,3 +283,65 @@ def test_stream_resumes_and_counts_once(spark, tmp_path):
     spark.range(5).write.mode("append").parquet(at)
     run()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 15
+
+
+def test_pca_like_numpy(spark):
+    from linkstrata.operators import geometry
+
+    x = np.random.default_rng(6).normal(size=(300, 4)) * [5, 2, 1, 0.1]
+    df = one(spark, "i int, v array<double>", [(i, list(map(float, r))) for i, r in enumerate(x)]).repartition(4)
+    mean, basis = geometry.pca(df)
+    assert mean == pytest.approx(x.mean(0))
+    vt = np.linalg.svd(x - x.mean(0))[2][:2]
+    assert np.abs((basis * vt).sum(1)) == pytest.approx([1, 1])
+    xy = np.array([r.xy for r in geometry.project(df, mean, basis).orderBy("i").collect()])
+    assert np.abs(xy) == pytest.approx(np.abs((x - x.mean(0)) @ vt.T))
+    assert geometry.pca(df.limit(0))[1].shape == (2, 0)
+
+
+def test_bootstrap_interval_holds_the_mean(spark):
+    from linkstrata.operators import significance
+
+    rng = np.random.default_rng(7)
+    d = [(i, 0.0, float(x)) for i, x in enumerate(rng.normal(1.0, 1.0, 400))] + [(999, None, 5.0)]
+    r = significance.bootstrap(one(spark, "i int, a double, b double", d), "i", "a", "b", 100).first()
+    assert r.low < np.mean([x[2] for x in d[:400]]) < r.high and 0.1 < r.high - r.low < 0.35
+    assert significance.mcnemar(one(spark, "a boolean, b boolean", [(True, True)]), "a", "b").first().chi2 == 0.0
+
+
+def test_coverage_and_resume(spark):
+    from linkstrata.operators import coverage
+
+    w = one(spark, "f string, name string", [("a", "x"), ("a", "y"), ("a", "x"), ("b", None)])
+    got = {r.f: (r.checked, r.found, r.percent, r.covered) for r in coverage.coverage(w, one(spark, "name string", [("x",), (None,)]), "name", "f").collect()}
+    assert got == {"a": (2, 1, 50.0, False), "b": (0, 0, 100.0, True)}
+    s = one(spark, "name string, stage string", [("x", "verified"), ("y", "pending")])
+    e = one(spark, "name string, stage string", [("x", "downloaded"), ("y", "downloading"), ("z", "nonsense")])
+    after = coverage.advance(s, e)
+    assert dict(col(after, "name", "stage")) == {"x": "verified", "y": "downloading", "z": "nonsense"}
+    assert sorted(r.name for r in coverage.todo(after, after.select("name"), "downloaded").collect()) == ["y", "z"]
+
+
+def pages(cursor):
+    at = cursor or 0
+    return [{"title": f"t{at}", "description": "d"}, {"title": f"u{at}"}], at + 1 if at < 3 else None
+
+
+def test_paged_source(spark, tmp_path):
+    from linkstrata.sources.paged import PagedSource
+
+    spark.dataSource.register(PagedSource)
+    read = spark.read.format("paged").option("fetch", "tests.test_operators:pages").load()
+    assert read.count() == 8 and read.filter("description is null").count() == 4
+    stream = spark.readStream.format("paged").option("fetch", "tests.test_operators:pages").option("pages", "2").load()
+    ranks.run_batches(stream, str(tmp_path / "o"), str(tmp_path / "c"), lambda b: b)
+    assert spark.read.parquet(str(tmp_path / "o")).count() >= 4
+
+
+def test_layers(spark):
+    from linkstrata.operators import layers
+
+    n = one(spark, "name string", [("a.attn",), ("vision.attn",), (None,), ("x",)])
+    assert [r[0] for r in col(n, layers.selected(F.col("name"), ["attn"], ["vision"]))] == [True, False, False, False]
+    d = layers.degradation(one(spark, "k int, m double", [(1, 0.25)]), ["k"], ["m"], 1.0).first()
+    assert (d.metric, d.degradation) == ("m", 0.75)
