@@ -21,6 +21,7 @@ WIDTH = 8
 ALPHA = 1.1
 ENTRIES = 256
 KEEP = 6
+LIST = pa.list_(pa.struct([("far", pa.float64()), ("other", pa.int64())]))
 
 
 def pack(v: np.ndarray) -> list[bytes]:
@@ -179,14 +180,21 @@ class Graph:
 def shard_neighbours(base: np.ndarray, asked: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, node, cosine) for the KEEP nearest that the shard's graph gives; ``own``: the query's place in base or -1."""
     graph = Graph(base @ base.T)
-    sims = np.concatenate([graph.sims, asked @ base.T]) if len(asked) else graph.sims
-    ids, val, _ = graph.search(sims, BEAM)
-    val = np.where(ids == own[:, None], -np.inf, val)
-    top = np.argsort(-val, axis=1)[:, :KEEP]
-    r = np.arange(len(sims))[:, None]
-    ids, val = ids[r, top], val[r, top]
-    q, c = np.nonzero(np.isfinite(val))
-    return q, ids[q, c], val[q, c]
+    out = []
+    for at in range(0, len(own), SHARD):  # queries by the shardful, which bounds the matrix of similarities
+        mine = own[at : at + SHARD]
+        if at + len(mine) <= len(base):
+            sims = graph.sims[at : at + len(mine)]
+        else:
+            sims = np.concatenate([graph.sims[at:], asked[max(0, at - len(base)) : at + len(mine) - len(base)] @ base.T])
+        ids, val, _ = graph.search(sims, BEAM)
+        val = np.where(ids == mine[:, None], -np.inf, val)
+        top = np.argsort(-val, axis=1)[:, :KEEP]
+        r = np.arange(len(mine))[:, None]
+        ids, val = ids[r, top], val[r, top]
+        q, c = np.nonzero(np.isfinite(val))
+        out.append((q + at, ids[q, c], val[q, c]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
@@ -261,32 +269,50 @@ def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
         raw = table.column("payload").combine_chunks()
         v = unit(unpack([raw[int(i)].as_py() for i in order]))
         f = v.astype(np.float32)
-        q = c = np.zeros(0, np.int64)
-        exact = np.zeros(0)
-        if n:
-            q, c, _ = shard_neighbours(f[:n], f[n:], np.concatenate([np.arange(n), np.full(len(node) - n, -1)]))
-            exact = np.concatenate([np.einsum("ij,ij->i", v[q[i : i + 4096]], v[c[i : i + 4096]]) for i in range(0, len(q), 4096)] or [exact])
-        return pa.table({"node": node[q], "near": node[c], "sim": np.round(exact, 9)})
+        if not n:
+            return pa.table({"node": pa.array([], pa.int64()), "list": pa.array([], LIST)})
+        q, c, _ = shard_neighbours(f[:n], f[n:], np.concatenate([np.arange(n), np.full(len(node) - n, -1)]))
+        exact = np.concatenate([np.einsum("ij,ij->i", v[q[i : i + 4096]], v[c[i : i + 4096]]) for i in range(0, len(q), 4096)] or [np.zeros(0)])
+        # What x finds of y is as true of y.
+        src, dst, far = np.concatenate([q, c]), np.concatenate([c, q]), np.tile(-np.round(exact, 9), 2)
+        order = np.lexsort((node[dst], far, src))
+        src, dst, far = src[order], dst[order], far[order]
+        fresh = np.ones(len(src), bool)
+        fresh[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
+        src, dst, far = src[fresh], dst[fresh], far[fresh]
+        first = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])) if len(src) else np.zeros(0, np.int64)
+        place = np.arange(len(src)) - np.repeat(first, np.diff(np.concatenate([first, [len(src)]])))
+        src, dst, far = (x[place <= k] for x in (src, dst, far))
+        first = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])) if len(src) else np.zeros(0, np.int64)
+        items = pa.StructArray.from_arrays([pa.array(far), pa.array(node[dst])], fields=list(LIST.value_type))
+        offsets = pa.array(np.concatenate([first, [len(src)]]).astype(np.int32))
+        return pa.table({"node": pa.array(node[src[first]]), "list": pa.ListArray.from_arrays(offsets, items, type=LIST)})
 
     sent = single.mapInArrow(send, "shard long, node long, base boolean, payload binary")
-    near = stage(sent.groupBy("shard").applyInArrow(search, "node long, near long, sim double"), "p4-near")
-    # What x finds of y is as true of y.
-    both = near.unionByName(near.select(F.col("near").alias("node"), F.col("node").alias("near"), "sim"))
-    both = both.groupBy("node", "near").agg(F.max("sim").alias("sim"))
-    # k + 1 ranks of other nodes are enough unless similarities tie; all that tie are kept.
-    close = both.select("node", "near", "sim", F.rank().over(Window.partitionBy("node").orderBy(F.desc("sim"))).alias("r")).filter(f"r <= {k + 1}")
+    near = sent.groupBy("shard").applyInArrow(search, "node long, list array<struct<far: double, other: long>>")
+    # k + 1 nodes are enough, also where similarities tie: a node's smallest id stands for it, and what is left out has larger ones.
+    merge = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
+    near = near.groupBy("node").agg(merge(F.flatten(F.collect_list("list"))).alias("list"))  # a list a cell it asked
+    near = stage(near, "p4-near")
     several = nodes.filter("n > 1").select("node", "id", F.row_number().over(Window.partitionBy("node").orderBy("id")).alias("r"))
     several = several.filter(f"r <= {k + 1}").groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("first"))
     several = stage(several, "p4-first")
-    first = close.join(small(several).withColumnRenamed("node", "near"), "near", "left")
-    lists = first.select("node", "sim", F.explode(F.coalesce("first", F.array("near"))).alias("other"))
-    lists = lists.unionByName(several.select("node", F.lit(1.0).alias("sim"), F.explode("first").alias("other")))
-    order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
-    lists = lists.withColumn("r", F.row_number().over(order)).filter(f"r <= {k + 1}")
-    lists = lists.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "other"))).alias("list"))
-    lists = stage(lists.join(groups.select("node", "n"), "node"), "p4-lists")
-    found = join_by_count(nodes.select("id", "node"), lists, ["node"], "n", total)
-    found = found.select("id", F.explode(F.slice(F.filter("list", lambda x: x["other"] != F.col("id")), 1, k)).alias("x"))
+    copied = several.head(1) is not None
+    lists = near
+    if copied:
+        # Nodes that stand for copies give their first ids; a node's own copies are at similarity 1.
+        alone = several.select("node", F.transform("first", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("other"))).alias("own"))
+        each = near.select("node", F.explode("list").alias("x")).select("node", "x.far", "x.other")
+        each = each.join(small(several).withColumnRenamed("node", "other"), "other", "left")
+        spread = F.transform(F.coalesce("first", F.array("other")), lambda i: F.struct(F.col("far"), i.alias("other")))
+        lists = each.select("node", spread.alias("list")).unionByName(alone.select("node", F.col("own").alias("list")))
+        lists = stage(lists.groupBy("node").agg(merge(F.flatten(F.collect_list("list"))).alias("list")), "p4-lists")
+    rows_of = lists.select(F.col("node").alias("id"), "list")
+    if copied:
+        others = nodes.filter("id <> node")
+        counted = lists.join(several.select("node"), "node").join(groups.select("node", "n"), "node")
+        rows_of = rows_of.unionByName(join_by_count(others.select("id", "node"), counted, ["node"], "n", total).select("id", "list"))
+    found = rows_of.select("id", F.explode(F.slice(F.filter("list", lambda x: x["other"] != F.col("id")), 1, k)).alias("x"))
     return found.select("id", F.col("x.other").alias("other"), (-F.col("x.far")).alias("sim"))
 
 
