@@ -16,7 +16,8 @@ from linkstrata.plans.staging import stage
 MASKS = ("111111", "11101011", "1101100111", "110010010111")
 SHARE = 0.5
 REPLACED = 7
-BLOCK = 20_000
+BLOCK_CHARS = 4_000_000
+"""Characters of items in a block: some 70 MB of seeds, whatever the number and length of the items (one item is never parted)."""
 
 MARKUP = re.compile(r"\[\[(?:File|Image|Category)\s*:[^\]]*\]\]|<[^<>]{0,500}>|\{\{[^{}]*\}\}|\bhttps?://\S+", re.I)
 WORD = re.compile(r"[^\W_]+")
@@ -104,15 +105,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold an item, or half of its words in one stretch, one in seven replaced at most.
 
     Seeds of all items are joined with those of all windows of all documents: the items, a stated query set,
-    are taken in blocks of BLOCK, each sent to every task (some 2 KB an item), and each document's seeds are looked up
+    are taken in blocks of BLOCK_CHARS, each sent to every task, and each document's seeds are looked up
     in the block's sorted seeds. Around each hit the aligned words decide, on the whole text. However
     the replaced words of a stretch lie, one of the masks reads only words that agree (the tests try all ways for
     stretches of 27 to 34 words). Null and empty texts hold nothing and empty items are in nothing.
     Copies of an item text under several ids are all reported.
     """
     asked = stage(items.filter("item_id is not null and text is not null").select("item_id", "text"), "p7-items")
-    total = asked.count()
-    blocks = max(1, -(-total // BLOCK))
+    blocks = max(1, -(-(asked.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     out = None
     for k in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toPandas().sort_values("item_id")

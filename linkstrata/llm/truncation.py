@@ -14,6 +14,8 @@ from linkstrata.llm.linear import Rows, score, slot, train
 
 SAMPLE = 60_000
 """At most so many rows train the model."""
+MOST_CHARS = 20_000
+"""Longer texts don't train; they are scored like all others."""
 KNOWN_SHARE = 5e-4
 """A word in at least this share of the texts is known: at most a text's mean number of words / KNOWN_SHARE words."""
 LIMIT_SHARE = 0.01
@@ -146,7 +148,7 @@ def fit(rows: DataFrame, text: str, source: str) -> Model | None:
         for r in sizes.alias("a").join(of.alias("b"), F.expr("a.s <=> b.s")).filter((F.col("k") >= 5) & (F.col("k") > LIMIT_SHARE * F.col("all")) & (F.col("n") >= 0.85 * F.col("top"))).select("a.s", "u", "n").collect()
     }  # fewer than 1 / LIMIT_SHARE lengths a source and unit
     share = min(1.0, 1.2 * SAMPLE / total)
-    sample = texts.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE).toPandas()
+    sample = texts.filter(F.length("t") <= MOST_CHARS).filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE).toPandas()
     sample = sample.sort_values(["t", "s"], kind="stable")
     whole = [(t, None if pd.isna(s) else s) for t, s in zip(sample.t, sample.s) if len(t.strip()) >= 12]
     whole = _seeds(whole)
