@@ -64,7 +64,7 @@ def _shortened(a: str, b: str) -> bool:
 def fit(words: list[str], core: str, rest: list[str], spelled: list[str], aliases: set[tuple[str, str]]) -> float:
     """How well a mention's words fit a profile: 0 not at all, up to 10.
 
-    ``core``: the distinctive word of the name; ``spelled``: spellings of it merged so far; ``rest``: the
+    ``core``: the distinctive word of the name; ``spelled``: spellings of it merged so far that block with the mention; ``rest``: the
     name's other words. Each word of the mention has to be the core (with slips), a filler, or stand for
     another word of the name: the same, with a slip, shortened, an initial, a known alias, or an acronym.
     """
@@ -74,7 +74,7 @@ def fit(words: list[str], core: str, rest: list[str], spelled: list[str], aliase
     for i, w in enumerate(own):
         if len(w) < LEAST_CORE:
             continue
-        d = min(slips(w, s, core_slips(len(w))) + (s != core) * 0.5 for s in {core, *spelled})
+        d = 0.0 if w == core else 0.5 if w in spelled else min(slips(w, s, core_slips(len(w))) + (s != core) * 0.5 for s in (core, *spelled))
         if d > core_slips(len(w)) + 0.5:
             continue
         score, free, others = 6.0 - d, list(rest), own[:i] + own[i + 1 :]
@@ -192,9 +192,11 @@ def link_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
         last = new is None
         keyed = _udf(_ends if last else _deletes, "array<string>")
         left = open_.select("mentions", F.explode(keyed("words")).alias("k"))
-        right = (full if last else new).select("qid", F.explode(keyed(F.array_union(F.array("core"), "spelled"))).alias("k"))
-        pairs = left.join(right, "k").select("mentions", "qid").distinct()
-        scored = pairs.join(open_, "mentions").join(full, "qid")
+        right = (full if last else new).select("qid", F.explode(F.array_union(F.array("core"), "spelled")).alias("s"))
+        right = right.select("qid", "s", F.explode(keyed(F.array("s"))).alias("k"))
+        # Only spellings that share a key with the mention go along, as an entity may have very many.
+        pairs = left.join(right, "k").groupBy("mentions", "qid").agg(F.collect_set("s").alias("spelled"))
+        scored = pairs.join(open_, "mentions").join(full.drop("spelled"), "qid")
         scored = scored.select("mentions", "words", "qid", score("words", "core", "rest", "spelled", "aliases").alias("score")).filter("score >= 3.5")
         top = scored.groupBy("mentions").agg(F.max("score").alias("best"))
         hits = stage(scored.join(top, "mentions").filter("score > best - 0.05").select("mentions", "qid", "words"), "p3-hits")
