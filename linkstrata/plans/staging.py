@@ -12,6 +12,10 @@ HOT_SHARE = 1000
 """A key is hot when it holds more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE keys are."""
 
 
+STAGED: list[str] = []
+"""Tables written by this driver, for ``release``."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,9 +34,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables staged so far. Only for when no result that reads them is still to be computed."""
+    while STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_by_count(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per key in ``groups``, safe for hot keys.
 

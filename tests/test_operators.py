@@ -345,3 +345,15 @@ def test_layers(spark):
     assert [r[0] for r in col(n, layers.selected(F.col("name"), ["attn"], ["vision"]))] == [True, False, False, False]
     d = layers.degradation(one(spark, "k int, m double", [(1, 0.25)]), ["k"], ["m"], 1.0).first()
     assert (d.metric, d.degradation) == ("m", 0.75)
+
+
+def test_staged_tables_are_released(spark):
+    df = staging.stage(spark.range(5), "t")
+    path = staging.STAGED[-1]
+    assert df.count() == 5
+    kept = [p for p in staging.STAGED if p != path]
+    staging.STAGED[:] = [path]
+    staging.release(spark)
+    staging.STAGED[:] = kept
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.schema("id long").parquet(path).count()
