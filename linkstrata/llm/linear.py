@@ -40,16 +40,16 @@ def score(weights: np.ndarray, rows: Rows) -> np.ndarray:
     return np.stack([np.bincount(row, weights[rows.slots, c], len(rows)) for c in range(weights.shape[1])], 1)
 
 
-def train(rows: Rows, labels: np.ndarray, weight: np.ndarray | None = None, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, bits: int = BITS, seed: int = 11) -> np.ndarray:
-    """Weights by minibatch AdaGrad. ``labels``: (n,) or (n, classes) of 0..1; one-versus-rest for several classes."""
+def train(rows: Rows, labels: np.ndarray, weight: np.ndarray | None = None, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, bits: int = BITS, seed: int = 11, use: np.ndarray | None = None) -> np.ndarray:
+    """Weights by minibatch AdaGrad. ``labels``: (n,) or (n, classes) of 0..1; one-versus-rest for several classes. ``use``: the rows to train on."""
     y = labels.reshape(len(rows), -1).astype(np.float64)
     k = y.shape[1]
     w, g2 = np.zeros((1 << bits, k)), np.full((1 << bits, k), 1e-8)
     own = np.ones(len(rows)) if weight is None else weight
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in np.array_split(order, max(1, len(rows) // 512)):
+        order = rng.permutation(np.arange(len(rows)) if use is None else use)
+        for at in np.array_split(order, max(1, len(order) // 512)):
             slots, row = rows.take(at)
             z = np.stack([np.bincount(row, w[slots, c], len(at)) for c in range(k)], 1)
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) * own[at, None]

@@ -20,7 +20,7 @@ KNOWN_SHARE = 5e-4
 """A word in at least this share of the texts is known: at most a text's mean number of words / KNOWN_SHARE words."""
 LIMIT_SHARE = 0.01
 ROUNDS = 3
-CUT_WEIGHT = 0.4
+CUT_WEIGHT = 0.25
 """Weight of a cut against a whole text, as each whole text gives up to three cuts."""
 
 # How shortened texts are marked.
@@ -39,7 +39,7 @@ def _shape(w: str) -> str:
     return ("A" if w[0].isupper() else "a") + ("a" if w[1:].islower() else "?")
 
 
-def closing(text: str, source: str | None, known: set[str], limits: set[tuple]) -> list[int]:
+def closing(text: str, source: str | None, known: dict[str, int] | set[str], limits: set[tuple]) -> list[int]:
     """Hashed features of how a text closes; ``known``: frequent words; ``limits``: (source, unit, length) that many texts have."""
     t = text.rstrip()
     words = WORD.findall(t[-240:])
@@ -95,9 +95,16 @@ def _style(text: str) -> str:
     return "list" if keys and t.count(";") + 1 >= keys and ". " not in t else "text"
 
 
-def _seeds(rows: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
+INITIAL = re.compile(r"[A-Z][\w'’-]+ [A-Z]\.$")
+RARE_END = 0.1
+
+
+def _seeds(rows: list[tuple[str, str | None]], ends: dict[str, float]) -> list[tuple[str, str | None]]:
     """Where training begins: rows that look whole and close as most rows of their source and style do.
 
+    The stop after an initial that follows a name is no close, and a bare last word must be one that ends texts often enough
+    (``ends``: in which share of the texts that have it a frequent word is the last).
+
     Where most of a source's values of a style end in a full stop, the others are left out; where most do not,
     a full stop is no sign, and all stay.
     """
@@ -108,7 +115,13 @@ def _seeds(rows: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
     for group in groups.values():
         closed = [x for x in group if CLOSED.search(x[0].rstrip())]
         out += closed if 2 * len(closed) > len(group) else group
-    return [x for x in out if _looks_whole(x[0])]
+
+
+    def fair(t: str) -> bool:
+        t = t.rstrip()
+        return _looks_whole(t) and not INITIAL.search(t) and ends.get(re.split(r"\s", t)[-1].lower(), 1.0) >= RARE_END
+
+    return [x for x in out if fair(x[0])]
 
 
 def _looks_whole(text: str) -> bool:
@@ -120,7 +133,7 @@ def _looks_whole(text: str) -> bool:
 class Model:
     """Weights, frequent words and limits; scores texts."""
 
-    def __init__(self, weights: np.ndarray, known: set[str], limits: set[tuple]):
+    def __init__(self, weights: np.ndarray, known: dict[str, int] | set[str], limits: set[tuple]):
         self.weights, self.known, self.limits = weights, known, limits
 
     def odds(self, texts: list[str], sources: list) -> np.ndarray:
@@ -139,7 +152,11 @@ def fit(rows: DataFrame, text: str, source: str) -> Model | None:
     if not total:
         return None
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{M}\p{N}'’-]+"))).alias("w"))
-    known = {r.w for r in words.filter("w <> ''").groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(3, KNOWN_SHARE * total)).select("w").collect()}
+    known = {r.w: r.n for r in words.filter("w <> ''").groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(3, KNOWN_SHARE * total)).collect()}
+    last = texts.select(F.lower(F.element_at(F.split(F.rtrim(F.regexp_replace("t", r"\s+", " ")), " "), -1)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    last = last.filter(F.col("n") >= max(3, KNOWN_SHARE * total)).collect()  # no more than there are known words
+    ends = {r.w: min(1.0, r.n / known[r.w]) for r in last if r.w in known}
+    ends = {w: ends.get(w, 0.0) for w in known}
     units = texts.select("s", F.explode(F.array(F.struct(F.lit("c").alias("u"), F.length("t").alias("n")), F.struct(F.lit("b").alias("u"), F.octet_length("t").alias("n")))).alias("x"))
     sizes = units.groupBy("s", "x.u", "x.n").agg(F.count("*").alias("k"))
     of = texts.groupBy("s").agg(F.count("*").alias("all"), F.max(F.length("t")).alias("top"))
@@ -151,25 +168,24 @@ def fit(rows: DataFrame, text: str, source: str) -> Model | None:
     sample = texts.filter(F.length("t") <= MOST_CHARS).filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE).toPandas()
     sample = sample.sort_values(["t", "s"], kind="stable")
     whole = [(t, None if pd.isna(s) else s) for t, s in zip(sample.t, sample.s) if len(t.strip()) >= 12]
-    whole = _seeds(whole)
+    whole = _seeds(whole, ends)
     lengths = sorted({n for _, u, n in limits if u == "c"})
-    model = None
+    rng = random.Random(5)
+    rows_ = [(t, s, i, 0.0) for i, (t, s) in enumerate(whole)]
+    rows_ += [(x, s, i, 1.0) for i, (t, s) in enumerate(whole) for x in cuts(t, rng, lengths)]
+    owner, y = np.array([r[2] for r in rows_], np.int64), np.array([r[3] for r in rows_])
+    if not y.any():
+        return None
+    x = Rows([closing(t, s, known, limits) for t, s, _, _ in rows_])
+    kept, weights = np.ones(len(whole), bool), None
     for _ in range(ROUNDS):
-        rng = random.Random(5)
-        if model is not None:
-            odds = model.odds([t for t, _ in whole], [s for _, s in whole])
-            whole = [x for x, o in zip(whole, odds) if o < 0]
-        texts_, sources, labels = [], [], []
-        for t, s in whole:
-            texts_.append(t), sources.append(s), labels.append(0.0)
-            for x in cuts(t, rng, lengths):
-                texts_.append(x), sources.append(s), labels.append(1.0)
-        if not labels or max(labels) == 0:
-            return model
-        y = np.array(labels)
-        x = Rows([closing(t, s, known, limits) for t, s in zip(texts_, sources)])
-        model = Model(train(x, y, np.where(y > 0, CUT_WEIGHT, 1.0), epochs=8), known, limits)
-    return model
+        if weights is not None:
+            kept &= score(weights, x)[: len(whole)] < 0
+        use = np.flatnonzero(kept[owner])
+        if not y[use].any():
+            break
+        weights = train(x, y, np.where(y > 0, CUT_WEIGHT, 1.0), epochs=8, use=use)
+    return Model(weights, known, limits)
 
 
 def truncated(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
