@@ -103,6 +103,13 @@ def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return out
 
 
+def against(queries: DataFrame, base: DataFrame, condition: Column) -> DataFrame:
+    """``base`` beside every row of the stated query set that ``condition`` admits, for scores that are expressions; a block at a time."""
+    spark = base.sparkSession
+    parts = [base.join(F.broadcast(spark.createDataFrame([tuple(r) for r in b.itertuples(index=False)], queries.schema)), condition) for b in _blocks(queries, queries.columns)]
+    return _union(parts, base.join(F.broadcast(spark.createDataFrame([], queries.schema)), condition))
+
+
 def exact_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(qid, eid, score, rank): the k base vectors with the highest inner product of each query, itself left out.
 

@@ -53,10 +53,10 @@ def paired_bootstrap(spark, d):
     return rounded(significance.bootstrap(e, "event_id", "a", "b", 50))
 
 
-@query("with w as (select distinct split, row_id % 7 as has, \"imgPath\" as name from mentions where \"imgPath\" is not null), p as (select distinct \"imgPath\" as name from mentions where source = 'wikimel' and \"imgPath\" is not null), e as (select distinct split, name from w), c as (select split, count(*) checked, count(p.name) found from e left join p using (name) group by split) select split, checked, found, round(100.0 * found / checked, 6) percent, 100.0 * found / checked > 99 covered from c")
+@query("with w as (select distinct split, row_id % 7 as has, \"imgPath\" as name from mentions where \"imgPath\" is not null), p as (select distinct \"imgPath\" as name from mentions where source = 'crowd' and \"imgPath\" is not null), e as (select distinct split, name from w), c as (select split, count(*) checked, count(p.name) found from e left join p using (name) group by split) select split, checked, found, round(100.0 * found / checked, 6) percent, 100.0 * found / checked > 99 covered from c")
 def image_coverage(spark, d):
     m = mentions(spark, d).select("split", "source", F.col("imgPath").alias("name"))
-    return rounded(coverage.coverage(m.select("split", "name"), m.filter("source = 'wikimel'"), "name", "split"))
+    return rounded(coverage.coverage(m.select("split", "name"), m.filter("source = 'crowd'"), "name", "split"))
 
 
 @query("with s as (select id, case id % 3 when 0 then 'downloaded' when 1 then 'verified' else 'pending' end stage from kb_entity union all select id, 'extracted' from seed_entity), o as (select id, max(list_position(['pending', 'downloading', 'downloaded', 'verified', 'extracted', 'unpacked', 'arranged'], stage)) p from s group by id) select p::int - 1 as place, count(*) n from o group by all")

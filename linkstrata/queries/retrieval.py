@@ -46,9 +46,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-METRICS = "count(*) filter (where rank <= {k}) / count(*)::double"
-
-
 def _m(ks, name="recall"):
     return ", ".join(f"round(avg((rank <= {k})::int), 6) {name}_{k}" for k in ks)
 
@@ -176,7 +173,7 @@ def modality_agreement(spark, d):
 def late_fusion_masked(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("eid"), F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
     q = e.filter("eid % 100 = 0").select(*(F.col(c).alias(f"q_{c}") for c in ("eid", "a", "b")))
-    s = e.join(F.broadcast(q.limit(vectors.BLOCK)), F.col("q_eid") != F.col("eid"))
+    s = vectors.against(q, e, F.col("q_eid") != F.col("eid"))
     s = s.select("q_eid", "eid", F.round(vectors.dot(F.col("q_a"), F.col("a")), 9).alias("sa"), F.round(vectors.dot(F.col("q_b"), F.col("b")), 9).alias("sb"))
     fused = F.round(vectors.late_fusion(F.col("sa"), F.col("sb"), F.col("sa") * F.col("sb"), F.col("eid") % 7 == 0), 9)
     best = s.groupBy(F.col("q_eid").alias("qid")).agg(F.max_by("eid", F.struct(fused, -F.col("eid"))).alias("eid"))

@@ -55,6 +55,8 @@ def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     want = sorted(map(tuple, vectors.exact_topk(q, base, 4).collect()))
     monkeypatch.setattr(vectors, "BLOCK", 2)
     assert sorted(map(tuple, vectors.exact_topk(q, base.repartition(5), 4).collect())) == want
+    many = vectors.against(q.select("qid", F.col("v").alias("w")), base, F.col("qid") != F.col("eid"))
+    assert many.count() == 9 * 39 and vectors.against(q.select("qid").limit(0), base, F.col("qid") != F.col("eid")).count() == 0
 
 
 @settings(max_examples=15, deadline=None)
