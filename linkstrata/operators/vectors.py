@@ -142,6 +142,27 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def scores(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """(qid, eid, score) of every query and every other base row, for aggregates that need all scores: never ranked or sorted here.
+
+    ``queries``: qid, v, a stated set in blocks; ``base``: eid, v. Scores are rounded to 9 decimals; null vectors take no part.
+    """
+    parts = []
+    for b in _blocks(queries.filter("v is not null").select("qid", "v"), ["qid", "v"]):
+        ids, q = b.qid.to_numpy(), np.stack(b.v.map(np.asarray)).astype(np.float64)
+
+        def every(batches, ids=ids, q=q):
+            for x in batches:
+                if len(x):
+                    eid = x.eid.to_numpy()
+                    s = np.round(q @ np.stack(x.v.to_numpy()).astype(np.float64).T, 9)
+                    r, c = np.nonzero(ids[:, None] != eid[None, :])
+                    yield pd.DataFrame({"qid": ids[r], "eid": eid[c], "score": s[r, c]})
+
+        parts.append(base.filter("v is not null").select("eid", "v").mapInPandas(every, "qid long, eid long, score double"))
+    return _union(parts, base.sparkSession.createDataFrame([], "qid long, eid long, score double"))
+
+
 def gold_ranks(queries: DataFrame, base: DataFrame) -> DataFrame:
     """(qid, gold, gold_score, rank, ordinal) without sorting or storing scores: ranks by counting.
 

@@ -308,7 +308,7 @@ def neighbor_overlap(spark, d):
 def pairwise_cosine_corr(spark, d):
     from linkstrata.operators.metrics import guarded_corr
 
-    a, b = (vectors.exact_topk(x.filter("eid % 100 = 0").withColumnRenamed("eid", "qid"), x, 2_147_483_647).select("qid", "eid", "score") for x in _coarse(spark, d))
+    a, b = (vectors.scores(x.filter("eid % 100 = 0").withColumnRenamed("eid", "qid"), x) for x in _coarse(spark, d))
     p = a.withColumnRenamed("score", "s0").join(b.withColumnRenamed("score", "s1"), ["qid", "eid"])
     return p.agg(F.round(guarded_corr("s0", "s1"), 6).alias("correlation"), F.round(F.avg(F.abs(F.col("s0") - F.col("s1"))), 6).alias("mae"), F.count("*").alias("n"))
 

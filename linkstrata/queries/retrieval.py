@@ -209,7 +209,7 @@ select vec_id, list_transform(range(1, 9), lambda j: round(list_sum(list_transfo
 @query(CTE + "select qid, round(ln(sum(exp(least(100, 20.0) * s.score))) - least(100, 20.0) * max(gs.gold_score), 6) loss from s join gs using (qid) group by qid")
 def contrastive_loss(spark, d):
     q, base = asked(spark, d)
-    every = vectors.exact_topk(q, base, 2_147_483_647).join(q.select("qid", "gold"), "qid")
+    every = vectors.scores(q, base).join(q.select("qid", "gold"), "qid")
     z = F.col("score") * 20.0
     return rounded(every.groupBy("qid").agg((F.ln(F.sum(F.exp(z))) - F.max(F.when(F.col("eid") == F.col("gold"), z))).alias("loss")))
 
