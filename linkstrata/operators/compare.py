@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+PARTS = 256
+
 
 def deltas(rows: DataFrame, baseline: Column, metrics: list[str], by: list[str] | None = None) -> DataFrame:
     """``rows`` with <metric>_delta to the group's baseline row; null where a group has none. Several baselines: the smallest by all columns."""
@@ -27,15 +29,19 @@ def ratio(a: Column, b: Column) -> Column:
 def pareto(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rows that none beats with a smaller or equal x and a larger or equal y, one of them strictly. Equal points all stay.
 
-    By one sorted pass over distinct x: a point stays if its y is the best of its x and above that of all smaller ones.
-    Rows with a null in either take no part.
+    A point stays if its y is the best of its x and above that of all smaller x. Distinct x are first parted into PARTS sets
+    by hash, each keeping its own front, as only points of such fronts can be on the whole one; one sorted pass over what
+    is left follows. Rows with a null in either take no part.
     """
-    from pyspark.sql import Window
-
     best = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias("_y"))
-    before = F.max("_y").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_before", before).filter("_before is null or _y > _before").select(F.col(x).alias("_x"), "_y")
-    return rows.join(front, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi")
+
+    def front(points: DataFrame, w: WindowSpec) -> DataFrame:
+        before = F.max("_y").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+        return points.withColumn("_before", before).filter("_before is null or _y > _before").drop("_before")
+
+    local = front(best.withColumn("_p", F.pmod(F.hash(x), F.lit(PARTS))), Window.partitionBy("_p")).drop("_p")
+    whole = front(local, Window.partitionBy()).select(F.col(x).alias("_x"), "_y")
+    return rows.join(whole, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi")
 
 
 def recommend(rows: DataFrame, metric: str, size: str, loss: float, baseline: Column) -> DataFrame:

@@ -16,7 +16,9 @@ def stratified(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
     total = counts.agg(F.sum("_c").alias("_t"))
     quota = counts.join(F.broadcast(total)).select(F.col(label).alias("_l"), F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_c") / F.col("_t"))).alias("_q"))
     w = Window.partitionBy(label).orderBy(seeded(F.col(key)), key)
-    return rows.withColumn("_r", F.row_number().over(w)).join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("_l"))).filter("_r <= _q").select(*rows.columns)
+    # No quota is above n, so tasks pass on n rows a label at most where Spark limits window groups (n of 1000 or less).
+    some = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    return some.join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("_l"))).filter("_r <= _q").select(*rows.columns)
 
 
 def by_difficulty(rows: DataFrame, score: str, key: str, n: int, how: str) -> DataFrame:
