@@ -248,21 +248,14 @@ def sq8_search(spark, d):
     return vectors.exact_topk(q, index.sq8(base.select("eid", "v"), index.sq8_ranges(base)), 10)
 
 
-def _recall(spark, d, rotate):
-    q, base = asked(spark, d)
-    true, got = vectors.exact_topk(q, base, 10).select("qid", "eid"), index.pq_search(q, base.select("eid", "v"), 20, 16, 6, rotate).select("qid", "eid")
-    hit = true.join(got.withColumn("hit", F.lit(1)), ["qid", "eid"], "left")
-    return rounded(hit.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall_10_in_20"), F.countDistinct("qid").alias("queries")))
-
-
 @query()
 def pq_search(spark, d):
-    return _recall(spark, d, False)
+    return index.pq_search(*asked(spark, d), 10, 16, 6)
 
 
 @query()
 def opq_search(spark, d):
-    return _recall(spark, d, True)
+    return index.pq_search(*asked(spark, d), 10, 16, 6, True)
 
 
 @query()

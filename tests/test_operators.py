@@ -232,6 +232,20 @@ def test_pq_finds_near_vectors(spark):
         index.PQ(x, 5, 4)
 
 
+@pytest.mark.parametrize("name", ["pq_search", "opq_search"])
+def test_pq_queries_give_nine_tenths_of_the_true_ten(spark, name):
+    from linkstrata.queries import quantisation, retrieval
+
+    d = "/root/testdata/sf0.1"
+    q, base = retrieval.asked(spark, d)
+    true = {(r.qid, r.eid): r.score for r in vectors.exact_topk(q, base, 10).collect()}
+    rows = getattr(quantisation, name)(spark, d).collect()
+    got = {(r.qid, r.eid): r.score for r in rows}
+    assert len(rows) == len(true) and sorted({r["rank"] for r in rows}) == list(range(1, 11))
+    hits = true.keys() & got.keys()
+    assert len(hits) >= 0.9 * len(true) and all(abs(true[x] - got[x]) < 1e-8 for x in hits)
+
+
 def test_gptq_beats_rounding(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 12)) @ rng.normal(size=(12, 12))
