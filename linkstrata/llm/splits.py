@@ -13,8 +13,6 @@ from linkstrata.plans.staging import small, stage
 BANDS, ROWS = 16, 3
 GUARD = 5
 AGREE = 0.8
-COMMON = 0.01
-"""Words in more than this share of the rows are no shingles: at most 1 / COMMON times a row's mean number of words."""
 MEETS_NONE, NONE = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64), np.uint64(0x8EBC6AF09C88C6E3)
 """Salts under which train rows with an image meet held-out rows without, the other way round, and rows without meet."""
 MERSENNE = np.uint64((1 << 61) - 1)
@@ -71,12 +69,9 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64), rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64)
 
 
-def band_keys(texts: pd.Series, guards: list[np.ndarray], common: set[str]) -> np.ndarray:
-    """One 64-bit key for each text and band: the band's minima over the text's set of rarer words, with the guard.
-
-    A text of common words only keeps them all.
-    """
-    words = [[w for w in ws if w not in common] or ws for ws in (t.split(" ") for t in texts)]
+def band_keys(texts: pd.Series, guards: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit key for each text and band: the band's minima over all of the text's words, with the guard."""
+    words = [t.split(" ") for t in texts]
     code: dict[str, int] = {}
     flat = np.fromiter((code.setdefault(w, len(code)) for ws in words for w in ws), np.int64)
     own = pd.util.hash_array(np.array(list(code), dtype=object), categorize=False) & np.uint64(0xFFFFFFFF)
@@ -101,7 +96,7 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
     punctuation, spacing and slips of typing, the image must be the same file or missing on a side,
     and four fifths of the longer sentence's words must agree in order. Buckets hold distinct records
     (a digest stands for all its copies in a split), so a group of copies of any size costs one entry a
-    band. A bucket holds one image, or rows with an image of one side and rows without of the other. Shingles are the words that at most COMMON of all rows hold, counted over all rows. Rows without any word in the sentence are compared by equality of the digest only through
+    band. A bucket holds one image, or rows with an image of one side and rows without of the other. Shingles are all words of the sentence. Rows without any word in the sentence are compared by equality of the digest only through
     the same path (their one shingle is ''). ``split`` and ``source`` are those of the held-out row.
     """
     own = rows.filter("row_id is not null and split is not null").select(
@@ -114,8 +109,6 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
         same_file(F.col("imgPath")).alias("p"),
     )
     own = own.withColumn("rec", F.xxhash64("m", "s", "p"))
-    words = own.select(F.explode(F.array_distinct(F.split("s", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    common = {r.w for r in words.filter(F.col("n") > COMMON * rows.count()).select("w").collect()}
 
     def entries(batches):
         known: set[tuple[int, bool]] = set()
@@ -127,7 +120,7 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
             if not len(b):
                 continue
             guards = [pd.util.hash_array(np.array(g, dtype=object), categorize=False) for g in (b.m.str[:GUARD].tolist(), b.m.str[-GUARD:].tolist())]
-            keys, train, none = band_keys(b.s, guards, common), b.train.to_numpy(), (b.p == "").to_numpy()
+            keys, train, none = band_keys(b.s, guards), b.train.to_numpy(), (b.p == "").to_numpy()
             path = pd.util.hash_array(b.p.to_numpy(dtype=object), categorize=False)
             # Records with other images never meet in a bucket: with an image they meet the same one or none.
             for rows, salt in (

@@ -163,6 +163,13 @@ def test_overlap_on_data(spark, small):
     assert found(queries.p2_found(spark, small), "id_a", "id_b") == sorted(want) and want
 
 
+def test_overlap_of_common_words_but_one(spark):
+    changed = SENT.split()
+    changed[3] = "zarmolin"
+    data = [mention(i, "Victor Maru", SENT) for i in range(20)] + [mention(50, "Victor Maru", " ".join(changed), split="dev")]
+    assert overlap(spark, filler(400) + data) == [(i, 50) for i in range(20)]
+
+
 def test_slips_and_order():
     assert [splits.slips("maru", x, 2) for x in ("maru", "amru", "mar", "marru", "nara", "bella")] == [0, 1, 1, 1, 2, 3]
     rng = random.Random(2)
