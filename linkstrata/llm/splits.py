@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkstrata.functions.text import md5_key, same_file, spaced, squashed
 from linkstrata.plans.staging import small, stage
 
 BANDS, ROWS = 16, 3
-GUARD = 5
+MEET = 256
+"""A bucket whose lesser side has more records is parted by image, and one that still has by letters of the mention."""
 AGREE = 0.8
 MEETS_NONE, NONE = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64), np.uint64(0x8EBC6AF09C88C6E3)
 """Salts under which train rows with an image meet held-out rows without, the other way round, and rows without meet."""
@@ -46,6 +49,43 @@ def may_slip(a: str, b: str) -> int:
     return 0 if n < 4 else 1 + n // 12
 
 
+def letters(mention: str) -> int:
+    """64 bits: for each of 32 classes of letters whether the mention has one, and whether it has more.
+
+    A slip changes the counts of at most two classes, each by one, so two bits at most; a swap changes none.
+    """
+    bits = 0
+    for c in mention:
+        at = 2 * (ord(c) % 32)
+        bits |= 2 << at if bits >> at & 1 else 1 << at
+    return bits - (bits >> 63 << 64)
+
+
+def parted(keys: np.ndarray, bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row of each): finer keys by mention, of which any two rows of a key share one if their mentions may be slips of each other.
+
+    k slips change at most 2k of 2k + 2 groups of letters, so two groups stay: there is a key for every two groups, and for every
+    k that a pair with this row may have, which hangs on the shorter mention.
+    """
+    most = np.where(sizes < 4, 0, 1 + sizes // 12)
+    least = np.maximum(sizes - most, 0)
+    least = np.where(least < 4, 0, 1 + least // 12)
+    out, at = [], []
+    for k in range(int(most.max(initial=-1)) + 1):
+        rows = np.flatnonzero((least <= k) & (k <= most))
+        if not len(rows):
+            continue
+        groups = [sum(3 << 2 * c for c in range(g, 32, 2 * k + 2)) for g in range(2 * k + 2)]
+        for i, (g, h) in enumerate(itertools.combinations(groups, 2)):
+            x = (bits[rows].view(np.uint64) & np.uint64(g | h)) + np.uint64(k * 1_000_003 + i + 1)
+            for _ in range(2):
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            x = ((x ^ keys[rows].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            out.append(x)
+            at.append(rows)
+    return np.concatenate(out or [keys[:0]]), np.concatenate(at or [np.zeros(0, np.int64)])
+
+
 def in_order(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence of words."""
     lo = 0
@@ -69,8 +109,10 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64), rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64)
 
 
-def band_keys(texts: pd.Series, guards: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit key for each text and band: the band's minima over all of the text's words, with the guard."""
+def band_keys(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One 64-bit key for each text and band: the band's minima over all of the text's words; 64 bits that have one
+    for each word, so that a word of one text only differs in one bit at most; and the number of words.
+    """
     words = [t.split(" ") for t in texts]
     code: dict[str, int] = {}
     flat = np.fromiter((code.setdefault(w, len(code)) for ws in words for w in ws), np.int64)
@@ -84,9 +126,10 @@ def band_keys(texts: pd.Series, guards: list[np.ndarray]) -> np.ndarray:
         out[:, k // ROWS] = (out[:, k // ROWS] ^ low) * np.uint64(0x9E3779B97F4A7C15)
         out[:, k // ROWS] ^= out[:, k // ROWS] >> np.uint64(29)
     for b in range(BANDS):
-        out[:, b] ^= guards[b % 2] + np.uint64(b)
+        out[:, b] ^= np.uint64(b + 1)
         out[:, b] *= np.uint64(0xD6E8FEB86659FD93)
-    return out.view(np.int64)
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (own[flat] % np.uint64(64)), starts)
+    return out.view(np.int64), bits.view(np.int64), np.array([len(w) for w in words], np.int32)
 
 
 def split_overlaps(rows: DataFrame) -> DataFrame:
@@ -96,7 +139,9 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
     punctuation, spacing and slips of typing, the image must be the same file or missing on a side,
     and four fifths of the longer sentence's words must agree in order. Buckets hold distinct records
     (a digest stands for all its copies in a split), so a group of copies of any size costs one entry a
-    band. A bucket holds one image, or rows with an image of one side and rows without of the other. Shingles are all words of the sentence. Rows without any word in the sentence are compared by equality of the digest only through
+    band. Pairs of a bucket are those whose image, letters and words differ no more than they may, and a bucket with
+    more than MEET records on both sides is parted by image, then by letters of the mention that slips leave as they are.
+    Shingles are all words of the sentence. Rows without any word in the sentence are compared by equality of the digest only through
     the same path (their one shingle is ''). ``split`` and ``source`` are those of the held-out row.
     """
     own = rows.filter("row_id is not null and split is not null").select(
@@ -119,20 +164,59 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
             b = b[fresh]
             if not len(b):
                 continue
-            guards = [pd.util.hash_array(np.array(g, dtype=object), categorize=False) for g in (b.m.str[:GUARD].tolist(), b.m.str[-GUARD:].tolist())]
-            keys, train, none = band_keys(b.s, guards), b.train.to_numpy(), (b.p == "").to_numpy()
-            path = pd.util.hash_array(b.p.to_numpy(dtype=object), categorize=False)
+            keys, words, count = band_keys(b.s)
+            path = np.where(b.p == "", 0, pd.util.hash_array(b.p.to_numpy(dtype=object), categorize=False) | np.uint64(1)).astype(np.uint64)
+            each = {
+                "rec": b.rec.to_numpy(), "side": b.train.to_numpy(np.int8), "letters": np.array([letters(m) for m in b.m], np.int64), "size": b.m.str.len().to_numpy(np.int32),
+                "words": words, "count": count, "path": (path >> np.uint64(32)).astype(np.uint32).view(np.int32) | (path > 0),
+            }
+            yield pd.DataFrame({"key": keys.ravel(), **{c: np.repeat(x, BANDS) for c, x in each.items()}})
+
+    def by_image(batches):
+        for b in batches:
+            train, none, path = b.side.to_numpy() == 1, b.path.to_numpy() == 0, b.path.to_numpy().astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             # Records with other images never meet in a bucket: with an image they meet the same one or none.
             for rows, salt in (
                 (~none, path), (~none, np.where(train, *MEETS_NONE)), (none, np.where(train, *MEETS_NONE[::-1])), (none, np.full(len(b), NONE)),
             ):
-                salted = (keys[rows].view(np.uint64) ^ salt[rows, None]) * np.uint64(0xD6E8FEB86659FD93)
-                yield pd.DataFrame({"key": salted.view(np.int64).ravel(), "rec": np.repeat(b.rec.to_numpy()[rows], BANDS), "side": np.repeat(train[rows].astype(np.int8), BANDS)})
+                yield b[rows].assign(key=((b.key.to_numpy().view(np.uint64) ^ salt)[rows] * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+
+    def by_letters(batches):
+        for b in batches:
+            keys, at = parted(*(b[c].to_numpy() for c in ("key", "letters", "size")))
+            yield b.iloc[at].assign(key=keys)
+
+    kind = "key bigint, rec bigint, side tinyint, letters bigint, size int, words bigint, count int, path int"
+    cols = [c.split()[0] for c in kind.split(", ")]
+    w = Window.partitionBy("key")
+
+    def two_sided(x: DataFrame) -> DataFrame:
+        x = x.repartition("key").distinct().withColumn("a", F.sum("side").over(w)).withColumn("b", F.count("*").over(w) - F.col("a"))
+        return stage(x.filter("a > 0 and b > 0").select(*cols, (F.least("a", "b") > MEET).alias("hot")), "p2-buckets")
+
+    shorter, longest = F.least("a.size", "b.size"), F.greatest("a.count", "b.count")
+    differ = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
+    alike = (
+        (F.least("a.count", "b.count") >= AGREE * longest - 1e-9)
+        & (differ("words") <= F.col("a.count") + F.col("b.count") - 2 * AGREE * longest + 1e-9)
+        & (differ("letters") <= 2 * F.when(shorter < 4, 0).otherwise(1 + F.floor(shorter / 12)))
+        & F.expr("a.path = b.path or a.path = 0 or b.path = 0")
+    )
+
+    def meet(x: DataFrame) -> DataFrame:
+        # One condition over both sides keeps the two inputs alike, so that the shuffle is made once.
+        x = x.select(*cols).repartition("key")
+        both = x.alias("b").join(x.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("b.side") < F.col("a.side")) & alike)
+        return both.select(F.col("a.rec").alias("rec_a"), F.col("b.rec").alias("rec_b"))
 
-    buckets = own.select("rec", "train", "m", "s", "p").mapInPandas(entries, "key bigint, rec bigint, side tinyint").repartition("key").distinct()
-    # One condition over both sides keeps the two inputs alike, so that the shuffle is made once.
-    near = buckets.alias("b").join(buckets.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("b.side") < F.col("a.side")))
-    near = stage(near.select(F.col("a.rec").alias("rec_a"), F.col("b.rec").alias("rec_b")).distinct(), "p2-near")
+    buckets = two_sided(own.select("rec", "train", "m", "s", "p").mapInPandas(entries, kind))
+    near, hot = meet(buckets.filter("not hot")), buckets.filter("hot").select(*cols)
+    if hot.head(1):
+        buckets = two_sided(hot.mapInPandas(by_image, kind))
+        near, hot = near.unionByName(meet(buckets.filter("not hot"))), buckets.filter("hot").select(*cols)
+        if hot.head(1):
+            near = near.unionByName(meet(hot.mapInPandas(by_letters, kind)))
+    near = stage(near.distinct(), "p2-near")
 
     asked = stage(near.select(F.explode(F.array("rec_a", "rec_b")).alias("rec")).distinct(), "p2-asked")
     members = stage(own.join(small(asked), "rec").withColumn("text", md5_key(F.col("m"), F.col("s"), F.col("p"))), "p2-members")

@@ -170,6 +170,34 @@ def test_overlap_of_common_words_but_one(spark):
     assert overlap(spark, filler(400) + data) == [(i, 50) for i in range(20)]
 
 
+SLIPPED = [("smith", "smyth"), ("Bronolilterhan", "Brxnolilterhxn"), ("abcdefghij", "abcdfeghij"), ("Kolrildilkam", "Kolxildilkaxm"), ("Maru", "Mrau")]
+
+
+@pytest.mark.parametrize("meet", [256, 0])
+def test_overlap_whatever_slips(spark, monkeypatch, meet):
+    monkeypatch.setattr(splits, "MEET", meet)
+    data = [mention(2 * i + j, m, SENT, split=("train", "test")[j]) for i, p in enumerate(SLIPPED) for j, m in enumerate(p)]
+    assert overlap(spark, filler() + data) == [(2 * i, 2 * i + 1) for i in range(len(SLIPPED))]
+
+
+def test_parted_keys_survive_all_slips():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = [rng.choice("abcdefghijklmnop\u00e9\u0436") for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randint(0, len(b))
+            b[i : i + 2] = rng.choice([b[i : i + 2][::-1], ["q"] + b[i : i + 2], b[i + 1 : i + 2], ["z"] + b[i + 1 : i + 2]])
+        a, b = "".join(a), "".join(b)
+        k = splits.may_slip(a, b)
+        if splits.slips(a, b, k) > k:
+            continue
+        x, y = ([splits.letters(m) for m in (a, b)], [len(a), len(b)])
+        assert bin((x[0] ^ x[1]) & (1 << 64) - 1).count("1") <= 2 * k
+        keys, at = splits.parted(np.array([7, 7], np.int64), np.array(x, np.int64), np.array(y, np.int32))
+        assert set(keys[at == 0]) & set(keys[at == 1])
+
+
 def test_slips_and_order():
     assert [splits.slips("maru", x, 2) for x in ("maru", "amru", "mar", "marru", "nara", "bella")] == [0, 1, 1, 1, 2, 3]
     rng = random.Random(2)
