@@ -71,8 +71,12 @@ def hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 
 def hamming_classes(rows: DataFrame) -> DataFrame:
-    """(hi, lo, rep, members): one row a fingerprint; ``rows``: id, hi, lo. Null fingerprints are left out."""
-    return rows.filter("hi is not null and lo is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+    """(hi, lo, rep, members, asks): one row a fingerprint; ``rows``: id, hi, lo. Null fingerprints are left out.
+
+    ``asks``: any member's id is divisible by 100, the stated query set.
+    """
+    asks = F.coalesce(F.bool_or(F.col("id") % 100 == 0), F.lit(False))
+    return rows.filter("hi is not null and lo is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("members"), asks.alias("asks"))
 
 
 def hamming_join(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:

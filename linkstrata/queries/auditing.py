@@ -231,7 +231,7 @@ def hamming_histogram(spark, d):
 @query(FP + "select distinct b.rep from c a, c b where a.rep % 100 = 0 and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 4")
 def hamming_blacklist(spark, d):
     c = _classes(spark, d)
-    near = audit.hamming_join(c.filter("rep % 100 = 0"), c, 4).select(F.col("b").alias("rep")).distinct()
+    near = audit.hamming_join(c.filter("asks"), c, 4).select(F.col("b").alias("rep")).distinct()
     return c.join(near, "rep", "left_semi").select("rep")
 
 

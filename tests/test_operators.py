@@ -246,6 +246,15 @@ def test_pq_queries_give_nine_tenths_of_the_true_ten(spark, name):
     assert len(hits) >= 0.9 * len(true) and all(abs(true[x] - got[x]) < 1e-8 for x in hits)
 
 
+def test_hamming_blacklist_asks_by_any_member(spark, tmp_path):
+    from linkstrata.queries import auditing
+
+    v = lambda *low: [-1.0 if i in low else 1.0 for i in range(64)]
+    data = [(7, v()), (200, v()), (8, v(1, 2)), (9, v(*range(20))), (301, v(*range(40, 64)))]
+    one(spark, "cache_id bigint, text_cls array<float>", data).write.parquet(str(tmp_path / "entity_cache.parquet"))
+    assert sorted(col(auditing.hamming_blacklist(spark, str(tmp_path)), "rep")) == [(7,), (8,)]
+
+
 def test_gptq_beats_rounding(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 12)) @ rng.normal(size=(12, 12))
