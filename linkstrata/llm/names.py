@@ -65,16 +65,15 @@ def fit(words: list[str], core: str, rest: list[str], spelled: list[str], aliase
     """How well a mention's words fit a profile: 0 not at all, up to 10.
 
     ``core``: the distinctive word of the name; ``spelled``: spellings of it merged so far that block with the mention; ``rest``: the
-    name's other words. Each word of the mention has to be the core (with slips), a filler, or stand for
+    name's other words. Each word of the mention has to be the core (with slips, but as it is where either is short), a filler, or stand for
     another word of the name: the same, with a slip, shortened, an initial, a known alias, or an acronym.
     """
     own = [w for w in words if w not in FILLERS]
     best = 0.0
     rest = [w for w in rest if w not in FILLERS]
     for i, w in enumerate(own):
-        if len(w) < LEAST_CORE:
-            continue
-        d = 0.0 if w == core else 0.5 if w in spelled else min(slips(w, s, core_slips(len(w))) + (s != core) * 0.5 for s in (core, *spelled))
+        near = (s for s in (core, *spelled) if min(len(w), len(s)) >= LEAST_CORE)
+        d = 0.0 if w == core else 0.5 if w in spelled else min((slips(w, s, core_slips(len(w))) + (s != core) * 0.5 for s in near), default=9.0)
         if d > core_slips(len(w)) + 0.5:
             continue
         score, free, others = 6.0 - d, list(rest), own[:i] + own[i + 1 :]
@@ -105,16 +104,20 @@ def fit(words: list[str], core: str, rest: list[str], spelled: list[str], aliase
     return best
 
 
-def _deletes(words: list[str]) -> list[str]:
-    """Each word of LEAST_CORE letters or more, and it with one letter left out: words one slip apart share one."""
-    return list({k for w in words if len(w) >= LEAST_CORE and w not in FILLERS for k in (w, *(w[:i] + w[i + 1 :] for i in range(len(w))))})
+def _without(w: str) -> set[str]:
+    """The word with one letter left out."""
+    return {w[:i] + w[i + 1 :] for i in range(len(w))}
 
 
-def _ends(words: list[str]) -> list[str]:
-    """Beginning and end of long words, for two slips in one half."""
-    return list({k for w in words if len(w) >= 8 and w not in FILLERS for k in (f"{w[:5]}-", f"-{w[-5:]}")})
+def _deletes(words: list[str]) -> list[str]:
+    """Each word, and each of LEAST_CORE letters or more with one letter left out: words one slip apart share one. Short words are marked, so they meet only themselves."""
+    own = {w for w in words if w and w not in FILLERS}
+    return list({k for w in own for k in ((w, *_without(w)) if len(w) >= LEAST_CORE else (f"={w}",))})
 
 
+def _deletes_twice(words: list[str]) -> list[str]:
+    """The same and words of 8 letters or more with two letters left out: words that core_slips admits share one."""
+    return list({*_deletes(words), *(k for w in words if core_slips(len(w)) > 1 and w not in FILLERS for x in _without(w) for k in _without(x))})
 
 
 def _udf(f, kind: str):
@@ -133,7 +136,8 @@ def link_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     that are linked already merge into their entity's profile, adding spellings and aliases. Spellings
     without a link are blocked on their words with one letter left out, scored against the profiles, and
     merged into the best one; the spellings they add re-enter blocking against what is still open, until a
-    round merges nothing. Last, what is open is blocked on beginnings and ends of long words. Of equally good entities one
+    round merges nothing. Then what is open is blocked with two letters left out of long words as well, again until a
+    round merges nothing. Short words have to be as they are. Of equally good entities one
     that the row lists among its candidates wins; without such the row stays out. Null and wordless mentions name nothing.
     """
     names = entities.filter("qid is not null").groupBy("qid").agg(F.min("entity_name").alias("name"))
@@ -153,7 +157,7 @@ def link_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     linked = stage(linked, "p3-linked")
     token = linked.select("qid", "core", "rest", F.explode("words").alias("w"))
     d = F.levenshtein("w", "core", 2)
-    more = token.filter((F.length("w") >= LEAST_CORE) & (d > 0)).select("qid", F.col("w").alias("s")).distinct()
+    more = token.filter((F.least(F.length("w"), F.length("core")) >= LEAST_CORE) & (d > 0)).select("qid", F.col("w").alias("s")).distinct()
     # A word that never looks like the distinctive one may be an alias of another word of the name.
     aliases = (
         linked.filter(F.size("rest") > 0)
@@ -187,12 +191,11 @@ def link_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
         return pd.Series(out, dtype="float64")
 
     score = F.pandas_udf(score, "double")
-    new, won, rounds = full, [], 0
+    new, won, twice = full, [], False
     while True:
-        last = new is None
-        keyed = _udf(_ends if last else _deletes, "array<string>")
+        keyed = _udf(_deletes_twice if twice else _deletes, "array<string>")
         left = open_.select("mentions", F.explode(keyed("words")).alias("k"))
-        right = (full if last else new).select("qid", F.explode(F.array_union(F.array("core"), "spelled")).alias("s"))
+        right = new.select("qid", F.explode(F.array_union(F.array("core"), "spelled")).alias("s"))
         right = right.select("qid", "s", F.explode(keyed(F.array("s"))).alias("k"))
         # Only spellings that share a key with the mention go along, as an entity may have very many.
         pairs = left.join(right, "k").groupBy("mentions", "qid").agg(F.collect_set("s").alias("spelled"))
@@ -201,16 +204,15 @@ def link_names(mentions: DataFrame, entities: DataFrame) -> DataFrame:
         top = scored.groupBy("mentions").agg(F.max("score").alias("best"))
         hits = stage(scored.join(top, "mentions").filter("score > best - 0.05").select("mentions", "qid", "words"), "p3-hits")
         won.append(hits.select("mentions", "qid"))
-        if last:
-            break
         open_ = stage(open_.join(hits.select("mentions").distinct(), "mentions", "left_anti"), "p3-open")
         sure = hits.join(hits.groupBy("mentions").agg(F.count("*").alias("n")).filter("n = 1"), "mentions")
         got = sure.join(full, "qid").select("qid", "core", "spelled", F.explode("words").alias("w"))
-        got = got.filter((F.length("w") >= LEAST_CORE) & (F.levenshtein("w", "core", 3) > 0) & ~F.array_contains("spelled", F.col("w")))
+        got = got.filter((F.least(F.length("w"), F.length("core")) >= LEAST_CORE) & (F.levenshtein("w", "core", 3) > 0) & ~F.array_contains("spelled", F.col("w")))
         got = stage(got.groupBy("qid").agg(F.collect_set("w").alias("s")), "p3-got")
-        rounds += 1
         if not got.head(1):
-            new = None
+            if twice:
+                break
+            new, twice = full, True
             continue
         new = got.select("qid", F.lit("").alias("core"), F.col("s").alias("spelled"))
         full = stage(

@@ -246,6 +246,14 @@ def test_names_on_hidden_answers(spark):
     assert right >= 0.97 * sum(q != "NIL" for q in truth.values()) and right >= 0.98 * len(got)
 
 
+def test_short_words_and_two_slips_anywhere(spark):
+    names_ = ["Martin Xu", "Bo Li", "Alexander Helvetril", "Martin Dongorval", "Bo Tarmelin", "Walter Li", "Alexander Pelkrim", "Ursula Zinnerdink", "Ursula Pormingal"]
+    e = spark.createDataFrame([(f"Q{i}", n) for i, n in enumerate(names_)], "qid string, entity_name string")
+    asks = ["Martin Xu", "Bo Li", "Alexander Hekvetrul", "Martin Xus", "Martin Xa", "Ursula Zimnerdunk", "Ursula Zimnxrdunq"]
+    got = found(names.link_names(rows(spark, [mention(i, m, "s") for i, m in enumerate(asks)]), e), "row_id", "qid")
+    assert got == [(0, "Q0"), (1, "Q1"), (2, "Q2"), (5, "Q7"), (6, "Q7")]
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
