@@ -136,6 +136,23 @@ def outliers(rows: DataFrame, value: str, by: list[str], width: float = 3.0) ->
     return rows.join(stats, by).groupBy(*by).agg(F.count_if(far).alias("outliers"), (F.count_if(far) / F.count("*")).alias("share"), F.max(F.col("m") + width * F.col("s")).alias("upper"), F.min(F.col("m") - width * F.col("s")).alias("lower"))
 
 
+BLOCK = 4096
+"""Rows of a layer quantised at once."""
+
+
+def _feedback(w: np.ndarray, h: np.ndarray, bits: int, damping: float) -> tuple[np.ndarray, np.ndarray]:
+    """(w with error feedback under x'x = h, w plainly rounded), each row by itself."""
+    h = h + np.eye(len(h)) * (damping * h.diagonal().mean() + 1e-9)
+    u = np.linalg.cholesky(np.linalg.inv(h)).T
+    most = 2 ** (bits - 1) - 1
+    s = np.maximum(np.abs(w).max(1) / most, FLOOR)
+    q, left = np.zeros_like(w), w.copy()
+    for j in range(w.shape[1]):
+        q[:, j] = np.clip(np.rint(left[:, j] / s), -most, most) * s
+        left[:, j + 1 :] -= np.outer((left[:, j] - q[:, j]) / u[j, j], u[j, j + 1 :])
+    return q, np.clip(np.rint(w / s[:, None]), -most, most) * s[:, None]
+
+
 def gptq(layers: DataFrame, bits: int = 4, damping: float = 0.01) -> DataFrame:
     """(layer, mse, rounded_mse): error-feedback quantisation of each layer's weights against its inputs, and plain rounding beside it.
 
@@ -147,17 +164,45 @@ def gptq(layers: DataFrame, bits: int = 4, damping: float = 0.01) -> DataFrame:
             out = []
             for layer, w, x in zip(b.layer, b.weights, b.inputs):
                 w, x = np.stack(w).astype(float), np.stack(x).astype(float)
-                h = x.T @ x
-                h += np.eye(len(h)) * (damping * h.diagonal().mean() + 1e-9)
-                u = np.linalg.cholesky(np.linalg.inv(h)).T
-                most = 2 ** (bits - 1) - 1
-                s = np.maximum(np.abs(w).max(1) / most, FLOOR)
-                q, left = np.zeros_like(w), w.copy()
-                for j in range(w.shape[1]):
-                    q[:, j] = np.clip(np.rint(left[:, j] / s), -most, most) * s
-                    left[:, j + 1 :] -= np.outer((left[:, j] - q[:, j]) / u[j, j], u[j, j + 1 :])
-                plain = np.clip(np.rint(w / s[:, None]), -most, most) * s[:, None]
+                q, plain = _feedback(w, x.T @ x, bits, damping)
                 out.append((layer, float(np.mean((x @ (w - q).T) ** 2)), float(np.mean((x @ (w - plain).T) ** 2))))
             yield pd.DataFrame(out, columns=["layer", "mse", "rounded_mse"])
 
     return layers.select("layer", "weights", "inputs").mapInPandas(one, "layer string, mse double, rounded_mse double")
+
+
+def gptq_rows(rows: DataFrame, bits: int = 4, damping: float = 0.01) -> DataFrame:
+    """(layer, mse, rounded_mse) as ``gptq`` where all vectors of a layer are weights and inputs; ``rows``: layer string, id, v.
+
+    x'x is summed by parts and the vectors are quantised in blocks of about BLOCK rows, so no layer is collected. Null vectors are left out.
+    """
+    rows = rows.filter("v is not null").select("layer", "id", doubles(F.col("v")).alias("v"))
+
+    def parts(batches):
+        sums: dict[str | None, np.ndarray] = {}
+        for b in batches:
+            for layer, vs in b.groupby("layer", dropna=False).v:
+                x = np.stack(vs.to_numpy())
+                layer = layer if isinstance(layer, str) else None
+                sums[layer] = sums.get(layer, 0) + x.T @ x
+        for layer, h in sums.items():
+            yield pd.DataFrame({"layer": pd.Series([layer] * h.size, dtype=object), "i": np.arange(h.size, dtype=np.int32), "x": h.ravel()})
+
+    cells = rows.select("layer", "v").mapInPandas(parts, "layer string, i int, x double").groupBy("layer", "i").agg(F.sum("x").alias("x"))
+    h = cells.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("h")).select("layer", F.col("h.x").alias("h"))
+    n = rows.groupBy("layer").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    both = h.alias("h").join(n.alias("n"), F.expr("h.layer <=> n.layer")).select("h.layer", "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    x = rows.alias("r").join(F.broadcast(n).alias("n"), F.expr("r.layer <=> n.layer")).select("r.layer", "v", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+
+    def one(w, hs):
+        if not len(w):
+            return pd.DataFrame({"layer": [], "n": [], "e": [], "r": []})
+        v, m = np.stack(w.v.to_numpy()), np.asarray(hs.h[0])
+        m = m.reshape(v.shape[1], -1)
+        e, r = (float(np.einsum("ij,jk,ik->", d, m, d, optimize=True)) for d in (v - q for q in _feedback(v, m, bits, damping)))
+        return pd.DataFrame({"layer": [w.layer[0]], "n": [len(v)], "e": [e], "r": [r]})
+
+    keys = ("layer", "block")
+    done = x.groupBy(*keys).cogroup(both.groupBy(*keys)).applyInPandas(one, "layer string, n long, e double, r double")
+    total = F.sum("n")
+    return done.groupBy("layer").agg((F.sum("e") / total / total).alias("mse"), (F.sum("r") / total / total).alias("rounded_mse"))

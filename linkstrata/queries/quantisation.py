@@ -260,7 +260,4 @@ def opq_search(spark, d):
 
 @query()
 def gptq_layers(spark, d):
-    e = _emb(spark, d)
-    part = e.groupBy(F.col("label").cast("string").alias("layer")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("x"))
-    rows = part.select("layer", F.slice("x.v", 1, 16).alias("weights"), F.col("x.v").alias("inputs"))
-    return rounded(quantize.gptq(rows))
+    return rounded(quantize.gptq_rows(_emb(spark, d).select(F.col("label").cast("string").alias("layer"), F.col("vec_id").alias("id"), "v")))

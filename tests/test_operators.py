@@ -263,6 +263,18 @@ def test_gptq_beats_rounding(spark):
     assert r.mse < r.rounded_mse
 
 
+def test_gptq_takes_all_rows_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quantize, "BLOCK", 8)
+    x = np.random.default_rng(8).normal(size=(60, 6)) @ np.random.default_rng(9).normal(size=(6, 6))
+    parts = {"a": x[:50].tolist(), None: x[50:].tolist()}
+    r = one(spark, "layer string, id int, v array<double>", [(k, i, v) for k, vs in parts.items() for i, v in enumerate(vs)] + [("a", 99, None)])
+    got = {g.layer: (g.mse, g.rounded_mse) for g in quantize.gptq_rows(r.repartition(3)).collect()}
+    whole = one(spark, "layer string, weights array<array<double>>, inputs array<array<double>>", [(k, vs, vs) for k, vs in parts.items()])
+    assert set(got) == set(parts)
+    for w in quantize.gptq(whole).collect():
+        assert got[w.layer] == pytest.approx((w.mse, w.rounded_mse), rel=1e-6)
+
+
 def test_sources(spark, tmp_path):
     kind = "a int, b string"
     for name, content in {"l.json": '[{"a":1,"b":"x"},{"a":2}]', "d.json": '{"data":[{"a":3}]}', "i.json": '{"items":[{"a":4}]}', "n.jsonl": '{"a":5}\n\n{"a":6}\n'}.items():
