@@ -1,4 +1,4 @@
-"""Text and path expressions that stay inside the JVM (inventory P1, P2, P6-P8, F1-F14)."""
+"""Text and path expressions that stay inside the JVM (inventory P1, P2, P6-P8, F1-F3, F5-F7, F9-F14)."""
 
 from __future__ import annotations
 
