@@ -17,9 +17,11 @@ STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Only a session in one process may go without and gets a temporary one; a cluster raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="linkstrata-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -61,6 +63,24 @@ def join_by_count(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, t
     )
 
 
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
+    """Inner join of two tables that both may have any number of rows of a key.
+
+    Keys with more than 1/HOT_SHARE of ``left``'s rows, fewer than HOT_SHARE, are parted: their rows of ``left`` go to ``salts``
+    tasks by hash and only their rows of ``right`` are sent to each of these. ``left`` is read twice, so it should be staged.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = left.count()
+    hot = counts.filter(F.col("_n") > max(total / HOT_SHARE, 1000)).select(*keys, F.lit(True).alias("_hot"))
+    if not hot.head(1):
+        return left.join(right, keys)
+    own = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
+    a = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), own).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    b = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
+    return a.join(b, [*keys, "_salt"]).drop("_salt")
+
+
 def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
     """``table`` with a broadcast hint if it has at most ``rows`` rows, else as it is, to be joined by shuffle.
 
