@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
+import base64
 import heapq
-import os
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkstrata.plans.staging import small, stage
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how the vocabulary's texts are split before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANKS = regex.compile(r"\p{White_Space}{1000,}")
 BLOCK = 256
 SHARD_TOKENS = 4_000_000
-MOST_SHARDS = 10_000
+GROUP = 1000
+"""Shards whose quotas are found together; the driver sees one row for each group, which holds GROUP x SHARD_TOKENS tokens."""
 SEED = 42
 
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def n_tokens(text: str, path: str = TOKENIZER) -> int:
+    """Tokens of a text. Very long runs of blanks, too deep for the pattern, are one piece each, as the pattern has it, but for a last blank before a word."""
+    t, at, n = _tokenizer(path), 0, 0
+    if len(text) >= 1000:
+        for run in BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            n += len(t.encode_ordinary(text[at : run.start()])) + len(t._encode_single_piece(text[run.start() : end]))
+            at = end
+    return n + len(t.encode_ordinary(text[at:]))
 
 
 def token_counts(documents: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
@@ -34,9 +49,7 @@ def token_counts(documents: DataFrame, text: str = "text", path: str = TOKENIZER
 
     @F.pandas_udf("int")
     def count(s: pd.Series) -> pd.Series:
-        t, texts = _tokenizer(path), [x or "" for x in s]
-        few = (texts[i : i + 64] for i in range(0, len(texts), 64))  # encodings are far larger than texts
-        return pd.Series([len(e.ids) for x in few for e in t.encode_batch(x, add_special_tokens=False)], dtype="int32")
+        return pd.Series([n_tokens(x, path) if x else 0 for x in s], dtype="int32")
 
     return documents.withColumn("tokens", F.coalesce(count(F.col(text)), F.lit(0)))
 
@@ -83,8 +96,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
 
     ``targets``: source, target_share, max_repeat. Of sources without documents the share goes to the others in
     proportion; sources without a target are left out. ``total_tokens`` is by default the most for which
-    all shares can be met within max_repeat. Blocks of equal tokens go to sources, then to each source's shards
-    by highest quotients; in a shard the documents' order is seeded, and a document is in the block in which its
+    all shares can be met within max_repeat. Blocks of equal tokens go to sources, then to each source's groups of shards and
+    to each group's shards by highest quotients; in a shard the documents' order is seeded, and a document is in the block in which its
     middle falls, so sizes are met to half a document a shard. A quota above a shard's tokens takes whole
     passes first. Null and empty texts have no tokens and aren't used. The same seed gives the same mixture.
     """
@@ -102,24 +115,33 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     most = [have[s].tokens * int(wanted[s].max_repeat) for s in names]
     total = total_tokens or min(m / x for m, x in zip(most, shares))
     quotas = dict(zip(names, sainte_lague(shares, round(total / block), [-(-m // block) for m in most])))
-    count = {s: min(MOST_SHARDS, max(1, -(-have[s].tokens // SHARD_TOKENS))) for s in names}
+    count = {s: max(1, -(-have[s].tokens // SHARD_TOKENS)) for s in names}
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    shards = F.create_map(*(x for s in names for x in (F.lit(s), F.lit(count[s]))))
-    placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(-seed)), shards[F.col("source")]).cast("int"))
-    filled = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("full")).collect()  # at most MOST_SHARDS a source
+    of = lambda values: F.create_map(*(x for s in names for x in (F.lit(s), F.lit(values[s]))))[F.col("source")]
+    placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(-seed)), of(count)).cast("int"))
+    cap = of({s: int(wanted[s].max_repeat) for s in names})
+    filled = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("full"))
+    filled = stage(filled.withColumn("group", F.floor(F.col("shard") / GROUP)).withColumn("cap", F.ceil(F.col("full") * cap / block)), "p8-filled")
+    groups = filled.groupBy("source", "group").agg(F.sum("full").alias("full"), F.sum("cap").alias("cap")).collect()
     rows = []
     for s in names:
-        own = sorted((r.shard, r.full) for r in filled if r.source == s)
-        cap = [-(-f * int(wanted[s].max_repeat) // block) for _, f in own]
-        rows += [(s, k, f, q * block) for (k, f), q in zip(own, sainte_lague([float(f) for _, f in own], quotas[s], cap))]
-    plan = documents.sparkSession.createDataFrame(rows, "source string, shard int, full long, quota long")
+        own = sorted((r.group, r.full, r.cap) for r in groups if r.source == s)
+        rows += [(s, g, q) for (g, _, _), q in zip(own, sainte_lague([float(f) for _, f, _ in own], quotas[s], [c for _, _, c in own]))]
+    by_group = documents.sparkSession.createDataFrame(rows, "source string, group long, blocks long")
+
+    def share_out(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("shard")
+        got = sainte_lague(g.full.astype(float).tolist(), int(g.blocks.iloc[0]), g.cap.tolist())
+        return pd.DataFrame({"source": g.source, "shard": g.shard, "full": g.full, "quota": [q * block for q in got]})
+
+    plan = filled.join(small(by_group), ["source", "group"]).groupBy("source", "group").applyInPandas(share_out, "source string, shard int, full long, quota long")
+    plan = stage(plan, "p8-plan")
     w = Window.partitionBy("source", "shard").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.sum("tokens").over(w) - F.col("tokens") / 2
-    cap = F.create_map(*(x for s in names for x in (F.lit(s), F.lit(int(wanted[s].max_repeat)))))
     used = placed.withColumn("middle", middle).join(small(plan), ["source", "shard"])
     passes = F.floor(F.col("quota") / F.col("full"))
     times = passes + (F.col("middle") < F.col("quota") - passes * F.col("full")).cast("int")
-    return used.select("doc_id", "source", "tokens", F.least(times, cap[F.col("source")]).cast("int").alias("times")).filter("times > 0")
+    return used.select("doc_id", "source", "tokens", F.least(times, cap).cast("int").alias("times")).filter("times > 0")
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, **how) -> DataFrame:
