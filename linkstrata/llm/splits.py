@@ -6,11 +6,12 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstrata.functions.text import md5_key, same_file, spaced, squashed
-from linkstrata.plans.staging import small, stage
+from linkstrata.llm.common import expand, slips
+from linkstrata.plans.staging import join_by_count, join_salted, small, stage
 
 BANDS, ROWS = 16, 3
 MEET = 256
@@ -21,28 +22,6 @@ MEETS_NONE, NONE = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 MERSENNE = np.uint64((1 << 61) - 1)
 
 
-def slips(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap neighbours) from a to b, or most + 1 when there are more."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    far = most + 1
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i] + [far] * len(b)
-        for j in range(max(1, i - most), min(len(b), i + most) + 1):
-            y = b[j - 1]
-            v = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            now[j] = v
-        if min(now) > most:
-            return far
-        before, last = last, now
-    return min(last[-1], far)
-
-
 def may_slip(a: str, b: str) -> int:
     """How many slips of typing two mentions of these lengths may have: one, and one more for each 12 letters."""
     n = min(len(a), len(b))
@@ -132,8 +111,9 @@ def band_keys(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out.view(np.int64), bits.view(np.int64), np.array([len(w) for w in words], np.int32)
 
 
-def split_overlaps(rows: DataFrame) -> DataFrame:
-    """Pairs (id_a, id_b, split, source) of one train row and one row of another split that hold the same record.
+def overlap_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs of equal records (class_a in train, class_b in another split, jaccard of their words) that hold the
+    same record, and rows (row_id, train, split, source, class).
 
     ``rows``: row_id, mentions, sentence, imgPath, split, source. The mention must agree but for case,
     punctuation, spacing and slips of typing, the image must be the same file or missing on a side,
@@ -142,7 +122,7 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
     band. Pairs of a bucket are those whose image, letters and words differ no more than they may, and a bucket with
     more than MEET records on both sides is parted by image, then by letters of the mention that slips leave as they are.
     Shingles are all words of the sentence. Rows without any word in the sentence are compared by equality of the digest only through
-    the same path (their one shingle is ''). ``split`` and ``source`` are those of the held-out row.
+    the same path (their one shingle is '').
     """
     own = rows.filter("row_id is not null and split is not null").select(
         "row_id",
@@ -188,11 +168,13 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
 
     kind = "key bigint, rec bigint, side tinyint, letters bigint, size int, words bigint, count int, path int"
     cols = [c.split()[0] for c in kind.split(", ")]
-    w = Window.partitionBy("key")
 
     def two_sided(x: DataFrame) -> DataFrame:
-        x = x.repartition("key").distinct().withColumn("a", F.sum("side").over(w)).withColumn("b", F.count("*").over(w) - F.col("a"))
-        return stage(x.filter("a > 0 and b > 0").select(*cols, (F.least("a", "b") > MEET).alias("hot")), "p2-buckets")
+        # Buckets are counted by parts and rows meet the counts, so no task gets a bucket.
+        x = stage(x, "p2-entries")
+        n = x.groupBy("key").agg(F.sum("side").alias("a"), F.count("*").alias("n")).filter("a > 0 and a < n")
+        n = stage(n.select("key", "n", (F.least("a", F.col("n") - F.col("a")) > MEET).alias("hot")), "p2-keys")
+        return stage(join_by_count(x, small(n), ["key"], "n", x.count()).select(*cols, "hot"), "p2-buckets")
 
     shorter, longest = F.least("a.size", "b.size"), F.greatest("a.count", "b.count")
     differ = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
@@ -205,7 +187,7 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
 
     def meet(x: DataFrame) -> DataFrame:
         # One condition over both sides keeps the two inputs alike, so that the shuffle is made once.
-        x = x.select(*cols).repartition("key")
+        x = x.select(*cols).repartition("key").distinct()
         both = x.alias("b").join(x.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("b.side") < F.col("a.side")) & alike)
         return both.select(F.col("a.rec").alias("rec_a"), F.col("b.rec").alias("rec_b"))
 
@@ -222,41 +204,55 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
     members = stage(own.join(small(asked), "rec").withColumn("text", md5_key(F.col("m"), F.col("s"), F.col("p"))), "p2-members")
     texts = stage(members.groupBy("rec", "text").agg(*(F.min(c).alias(c) for c in "msp")), "p2-texts")
     both = near
-    for x in "ab":
-        both = both.join(texts.select(*(F.col(c).alias(f"{c}_{x}") for c in ("rec", "text", *"msp"))), f"rec_{x}")
+    for x in "ab":  # a record may be near very many
+        both = join_salted(both, texts.select(*(F.col(c).alias(f"{c}_{x}") for c in ("rec", "text", *"msp"))), [f"rec_{x}"])
+        both = stage(both, "p2-both") if x == "a" else both
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("double")
     def agree(m_a: pd.Series, m_b: pd.Series, s_a: pd.Series, s_b: pd.Series) -> pd.Series:
-        def one(a: str, b: str, s: str, t: str) -> bool:
+        """Jaccard similarity of the words of two records that agree, else null."""
+
+        def one(a: str, b: str, s: str, t: str) -> float | None:
             if slips(a, b, most := may_slip(a, b)) > most:
-                return False
+                return None
             s, t = s.split(" "), t.split(" ")
             most_words, u, v = max(len(s), len(t)), set(s), set(t)
+            alike = len(u & v) / len(u | v)
             # Agreeing words bound the Jaccard similarity from below unless words repeat; then order decides alone.
-            if len(u) == len(s) and len(v) == len(t) and len(u & v) < (2 * AGREE - 1) * len(u | v):
-                return False
-            return in_order(s, t) >= AGREE * most_words - 1e-9
+            if len(u) == len(s) and len(v) == len(t) and alike < 2 * AGREE - 1 - 1e-9:
+                return None
+            return alike if in_order(s, t) >= AGREE * most_words - 1e-9 else None
 
-        return pd.Series([one(*x) for x in zip(m_a, m_b, s_a, s_b)])
+        return pd.Series([one(*x) for x in zip(m_a, m_b, s_a, s_b)], dtype="float64")
 
     alike = F.col("text_a") == F.col("text_b")
-    differ = both.filter(~alike).filter("p_a = p_b or p_a = '' or p_b = ''").filter(agree("m_a", "m_b", "s_a", "s_b"))
-    pairs = stage(differ.unionByName(both.filter(alike)).select("text_a", "text_b"), "p2-pairs")
-    a = members.filter("train").select(F.col("text").alias("text_a"), F.col("row_id").alias("a"))
-    b = members.filter("not train").select(F.col("text").alias("text_b"), F.col("row_id").alias("b"), "split", "source")
-    return (
-        pairs.join(a, "text_a")
-        .join(b, "text_b")
-        .filter("a <> b")
-        .select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "split", "source")
-    )
+    differ = both.filter(~alike).filter("p_a = p_b or p_a = '' or p_b = ''").withColumn("jaccard", agree("m_a", "m_b", "s_a", "s_b")).filter("jaccard is not null")
+    pairs = differ.unionByName(both.filter(alike).withColumn("jaccard", F.lit(1.0)))
+    pairs = stage(pairs.select(F.col("text_a").alias("class_a"), F.col("text_b").alias("class_b"), "jaccard"), "p2-pairs")
+    return pairs, members.select("row_id", "train", "split", "source", F.col("text").alias("class"))
+
+
+def split_overlaps(rows: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b, split, source, jaccard) of one train row and one row of another split that hold the same record.
+
+    ``split`` and ``source`` are those of the held-out row. See ``overlap_classes``.
+    """
+    pairs, members = overlap_classes(rows)
+    a = members.filter("train").select(F.col("class").alias("class_a"), F.col("row_id").alias("a"))
+    b = members.filter("not train").select(F.col("class").alias("class_b"), F.col("row_id").alias("b"), "split", "source")
+    found = expand(pairs, a, b).filter("a <> b")
+    return found.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "split", "source", "jaccard")
 
 
 def overlap_report(rows: DataFrame) -> DataFrame:
-    """(split, source, rows, pairs): held-out rows and their pairs with train rows. Null sources are one group."""
-    found = split_overlaps(rows)
-    counts = found.groupBy("split", "source").agg(F.count("*").alias("pairs"))
+    """(split, source, rows, repeated, pairs): held-out rows, those that repeat train rows, and their pairs with these. Null sources are one group."""
+    pairs, members = overlap_classes(rows)
+    # Classes are counted, not expanded: a class of n train rows gives each of its held-out rows n pairs.
+    train = members.filter("train").groupBy(F.col("class").alias("class_a")).agg(F.countDistinct("row_id").alias("n"))
+    links = pairs.join(train, "class_a").groupBy(F.col("class_b").alias("class")).agg(F.sum("n").alias("pairs"))
+    held = members.filter("not train").groupBy("class", "split", "source").agg(F.count("*").alias("k"))
+    counts = held.join(links, "class").groupBy("split", "source").agg(F.sum(F.col("k") * F.col("pairs")).alias("pairs"), F.sum("k").alias("repeated"))
     total = rows.filter("split <> 'train'").groupBy("split", "source").agg(F.count("*").alias("rows"))
     return total.alias("t").join(counts.alias("c"), F.expr("t.split <=> c.split and t.source <=> c.source"), "left").select(
-        "t.split", "t.source", "rows", F.coalesce("pairs", F.lit(0)).alias("pairs")
+        "t.split", "t.source", "rows", F.coalesce("repeated", F.lit(0)).alias("repeated"), F.coalesce("pairs", F.lit(0)).alias("pairs")
     )
