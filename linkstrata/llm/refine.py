@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstrata.functions.text import md5_key, same_file, squashed
-from linkstrata.plans.staging import join_by_count, stage
+from linkstrata.plans.staging import join_by_count, small, stage
 
 FIELDS = ("mentions", "sentence", "answer", "imgPath")
 HISTOGRAM = "etaoinrs0123"
@@ -26,38 +26,50 @@ def records(mentions: DataFrame, raw: DataFrame) -> DataFrame:
     )
 
 
+def _stripped(rows: DataFrame) -> DataFrame:
+    s = [squashed(F.col(c)) for c in FIELDS[:3]] + [same_file(F.col("imgPath"))]
+    return rows.select("id", *(e.alias(f"s{i}") for i, e in enumerate(s)))
+
+
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(members, groups, rows): id, class of each record that shares one, and class, first_id, n of each class.
+
+    Lengths of the stripped fields and counts of some letters part all records; only those of classes with several members are
+    read again and digested, and their ids alone are sent to the second reading.
+    """
+    letters = [F.length(F.col("s1")) - F.length(F.replace(F.col("s1"), F.lit(x), F.lit(""))) for x in HISTOGRAM]
+    cheap = F.xxhash64(*(F.length(f"s{i}") for i in range(4)), *letters)
+    slim = stage(_stripped(rows).select("id", cheap.alias("cheap")).distinct(), "p5-slim")
+    total = slim.count()
+    several = slim.groupBy("cheap").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = stage(join_by_count(slim, several, ["cheap"], "n", total).select("id", "cheap"), "p5-asked")
+    # The texts meet the ids before anything is made of them, so what has no likeness is neither stripped nor digested again.
+    again = _stripped(rows.join(small(asked.select("id").distinct()), "id"))
+    full = stage(again.select("id", md5_key(*(F.col(f"s{i}") for i in range(4))).alias("class")).distinct(), "p5-full")
+    groups = full.groupBy("class").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("n"))
+    return full, stage(groups.filter("n > 1"), "p5-groups"), total
+
+
 def formatting_copies(rows: DataFrame) -> DataFrame:
     """Rows (first_id, copy_id, copies): each member of a group but the smallest id, and the group's size.
 
     ``rows``: id and the four fields. Two records are the same when their fields agree but for white
     space, letter case and punctuation, and name the same file in any path form; null and empty are
-    equal. The classes are refined in two steps. Lengths of the stripped fields and counts of some
-    letters part the rows first; only rows of classes with several members are then compared by
-    a digest of all stripped characters. Every shuffle carries ids and digests, never texts, and
+    equal. The classes are refined in two steps, see ``classes``. Shuffles carry ids and digests, and
     hot classes are joined by broadcast of fewer than 1000 keys.
     An empty input gives no rows. Ids given twice with one content count as one record.
     """
-    s = [squashed(F.col(c)) for c in FIELDS[:3]] + [same_file(F.col("imgPath"))]
-    text = rows.select("id", *(e.alias(f"s{i}") for i, e in enumerate(s)))
-    letters = [F.length(F.col("s1")) - F.length(F.replace(F.col("s1"), F.lit(x), F.lit(""))) for x in HISTOGRAM]
-    slim = stage(
-        text.select(
-            "id",
-            F.xxhash64(*(F.length(f"s{i}") for i in range(4)), *letters).alias("cheap"),
-            md5_key(*(F.col(f"s{i}") for i in range(4))).alias("full"),
-        ),
-        "p5-slim",
-    )
-    total = slim.count()
-    several = slim.groupBy("cheap").agg(F.count("*").alias("n")).filter("n > 1")
-    left = join_by_count(slim, several, ["cheap"], "n", total).drop("n")
-    left = stage(left, "p5-left")
-    groups = left.groupBy("cheap", "full").agg(
-        F.min("id").alias("first_id"), F.count("*").alias("n"), F.max("id").alias("last_id")
-    )
-    groups = stage(groups.filter("last_id > first_id").drop("last_id"), "p5-groups")
+    members, groups, total = classes(rows)
     return (
-        join_by_count(left, groups, ["cheap", "full"], "n", total)
+        join_by_count(members, groups, ["class"], "n", total)
         .filter("id > first_id")
         .select("first_id", F.col("id").alias("copy_id"), F.col("n").alias("copies"))
     )
+
+
+def copy_counts(rows: DataFrame) -> DataFrame:
+    """(first_id, copies): one row for each distinct record, under its smallest id, and how many records it stands for, itself included."""
+    members, groups, total = classes(rows)
+    left_out = join_by_count(members, groups, ["class"], "n", total).filter("id > first_id").select("id")
+    alone = rows.select("id").distinct().join(left_out, "id", "left_anti")
+    return alone.join(groups.select(F.col("first_id").alias("id"), "n"), "id", "left").select(F.col("id").alias("first_id"), F.coalesce("n", F.lit(1)).alias("copies"))
