@@ -10,17 +10,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkstrata.plans.staging import stage
+from linkstrata.llm.common import MARKUP, coded, in_chunks
+from linkstrata.plans.staging import join_salted, small, stage
 
 # Which of a window's word positions a seed reads ('1') and which it ignores ('0').
 MASKS = ("111111", "11101011", "1101100111", "110010010111")
+SHORT_MASKS = ("1", "11", "111")
+SHORT = 9
+"""Items whose half has fewer words are sought by runs of up to three words."""
 SHARE = 0.5
 REPLACED = 7
-BLOCK_CHARS = 4_000_000
-"""Characters of items in a block: some 70 MB of seeds, whatever the number and length of the items (one item is never parted)."""
+MOST_BITS = 28
+"""The filter of the items' seeds has at most 2 ** MOST_BITS bits, 32 MB, whatever the items."""
+CHUNK = 1 << 16
+CHARS = 2_000_000
+"""Characters of texts that are hashed at once (one text is never parted)."""
+SENT_BYTES, SEEDS_SENT = 16_000_000, 500_000
+"""Items' words up to so many bytes, and items' seeds up to so many rows, are broadcast; beyond they are joined by shuffle."""
 
-MARKUP = re.compile(r"\[\[(?:File|Image|Category)\s*:[^\]]*\]\]|<[^<>]{0,500}>|\{\{[^{}]*\}\}|\bhttps?://\S+", re.I)
 WORD = re.compile(r"[^\W_]+")
+HITS = "codes binary, h array<long>, pos array<int>, edge array<boolean>"
 
 
 def words(text: str | None) -> list[str]:
@@ -31,25 +40,36 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def codes(ws: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(ws, dtype=object), categorize=False) if ws else np.zeros(0, np.uint64)
-
-
-def seeds(code: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """For each mask, (mask number, hash of each window's read words)."""
-    out = []
-    for m, mask in enumerate(MASKS):
-        n = len(code) - len(mask) + 1
-        if n < 1:
-            out.append((m, np.zeros(0, np.uint64)))
-            continue
-        h = np.full(n, 0x9E3779B97F4A7C15 + m, np.uint64)
-        for i, bit in enumerate(mask):
-            if bit == "1":
-                h = (h ^ code[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
-                h ^= h >> np.uint64(32)
-        out.append((m, h))
-    return out
+def masks_of(n: int) -> tuple[int, ...]:
+    """Numbers of the masks by which an item of n words is sought, of MASKS and then SHORT_MASKS.
+
+    A stretch of fewer than seven words has to agree whole, and one of more has three agreeing words in a row, so a run of
+    min(half, 3) words finds every short item; the four masks miss no stretch of SHORT words or more.
+    """
+    half = -(-n // 2)
+    return tuple(range(len(MASKS))) if half >= SHORT else (len(MASKS) + min(half, 3) - 1,) if half else ()
+
+
+def seeds(code: np.ndarray, owner: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each window inside one text, hash of its read words by mask ``m``, whether it is not amid windows of equal hash).
+
+    Pairs of windows of which one is at the edge of its run give all alignments of two runs, so two texts that repeat
+    one word over and over give as many as they have words, not the product.
+    """
+    mask = (MASKS + SHORT_MASKS)[m]
+    n = len(code) - len(mask) + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    h = np.full(n, 0x9E3779B97F4A7C15 + m, np.uint64)
+    for i, bit in enumerate(mask):
+        if bit == "1":
+            h = (h ^ code[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+    at = np.flatnonzero(owner[:n] == owner[len(mask) - 1 :])
+    same = (h[:-1] == h[1:]) & (owner[: n - 1] == owner[len(mask) :]) if n > 1 else np.zeros(0, bool)
+    amid = np.zeros(n, bool)
+    amid[1:-1] = same[:-1] & same[1:]
+    return at, h[at], ~amid[at]
 
 
 def covered(same: np.ndarray, least: int) -> bool:
@@ -65,69 +85,153 @@ def covered(same: np.ndarray, least: int) -> bool:
     return bool((gain[least:] >= low).any())
 
 
-class Items:
-    """A block of held-out items with their seeds, sorted for search."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.codes = ids, [codes(words(t)) for t in texts]
-        parts = [(h, np.full(len(h), i), np.arange(len(h))) for i, c in enumerate(self.codes) for _, h in seeds(c)]
-        h, item, pos = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.pos = h[order].astype(np.uint64), item[order], pos[order]
-
-    def leaked(self, doc: np.ndarray) -> list[int]:
-        """Ids of the items that the document carries."""
-        if not len(doc) or not len(self.hash):
-            return []
-        lines = []
-        for _, h in seeds(doc):
-            lo = np.searchsorted(self.hash, h, "left")
-            n = np.searchsorted(self.hash, h, "right") - lo
-            at = np.flatnonzero(n)
-            if len(at):
-                n, lo = n[at], lo[at]
-                hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                lines.append(np.stack([self.item[hit], np.repeat(at, n) - self.pos[hit]], 1))
-        if not lines:
-            return []
-        found: set[int] = set()
-        for i, shift in np.unique(np.concatenate(lines), axis=0):
-            if i in found:
+def cover(parts: list[bytes], codes: list[bytes], lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``covered`` for many alignments at once: words of a document, an item's words, where in these they begin, and the item's size."""
+    size = np.array([len(p) for p in parts], np.int64) // 4
+    out, start = np.zeros(len(parts), bool), np.concatenate([[0], np.cumsum(size)])
+    doc, own = np.frombuffer(b"".join(parts), np.uint32), np.frombuffer(b"".join(c[4 * a : 4 * (a + k)] for c, a, k in zip(codes, lo, size)), np.uint32)
+    gain = np.where(doc == own, 1, 1 - REPLACED).astype(np.int32)
+    for k in np.unique(n):
+        least = -(-int(k) // 2)
+        every = np.flatnonzero((n == k) & (size >= least))
+        for at in np.array_split(every, len(every) // max(1, CHARS // int(k)) + 1):
+            if not len(at):
                 continue
-            own = self.codes[i]
-            lo, hi = max(0, -shift), min(len(own), len(doc) - shift)
-            if covered(own[lo:hi] == doc[lo + shift : hi + shift], -(-len(own) // 2)):
-                found.add(int(i))
-        return [self.ids[i] for i in sorted(found)]
+            wide = np.full((len(at), int(size[at].max()) + 1), -1_000_000, np.int64)
+            wide[:, 0] = 0
+            row = np.repeat(np.arange(len(at)), size[at])
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+            wide[row, place + 1] = gain[start[at][row] + place]
+            total = np.cumsum(wide, axis=1)
+            low = np.minimum.accumulate(total[:, : total.shape[1] - least], axis=1)
+            out[at] = (total[:, least:] >= low).any(1)
+    return out
+
+
+class Filter:
+    """A Bloom filter of 64-bit hashes with two probes."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+
+    @staticmethod
+    def places(h: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return h & mask, (h >> np.uint64(32)) & mask
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        yes = np.ones(len(h), bool)
+        for at in self.places(h, self.mask):
+            yes &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return yes
+
+
+def hits(texts: list[str], masks: list[int] | None, known: Filter | None) -> tuple[np.ndarray, dict]:
+    """(numbers of the texts with seeds, their words' codes and seeds); ``masks`` None: those of each text's own length; ``known``: seeds to keep."""
+    code, owner, n = coded([words(t) for t in texts])
+    start = np.concatenate([[0], np.cumsum(n)])
+    parts = []
+    for m in range(len(MASKS) + len(SHORT_MASKS)) if masks is None else masks:
+        at, h, edge = seeds(code, owner, m)
+        if masks is None:
+            use = np.array([m in masks_of(x) for x in n], bool)[owner[at]] if len(at) else np.zeros(0, bool)
+        else:
+            use = known.has(h)
+        parts.append((owner[at[use]], at[use] - start[owner[at[use]]], h[use], edge[use]))
+    own, pos, h, edge = (np.concatenate([p[k] for p in parts]) for k in range(4)) if parts else (np.zeros(0, np.int64),) * 4
+    order = np.argsort(own, kind="stable")
+    own, pos, h, edge = own[order], pos[order].astype(np.int32), h[order].view(np.int64), edge[order]
+    who, first = np.unique(own, return_index=True)
+    last = [*first[1:], len(own)]
+    brief = (code & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return who, {
+        "codes": [brief[start[i] : start[i + 1]].tobytes() for i in who],
+        "h": [h[a:b] for a, b in zip(first, last)], "pos": [pos[a:b] for a, b in zip(first, last)], "edge": [edge[a:b] for a, b in zip(first, last)],
+    }
+
+
+def _filter_of(seeds_: DataFrame, n: int) -> Filter:
+    """The filter of staged seeds ``h``: parts of it are made by partition and united; the driver gets 2 ** MOST_BITS bits at most."""
+    bits = 1 << min(MOST_BITS, max(20, int(16 * n).bit_length()))
+    mask = np.uint64(bits - 1)
+
+    def parts(batches):
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.unique(np.concatenate(Filter.places(b.h.to_numpy().view(np.uint64), mask))).astype(np.int64)
+            for c in np.unique(at // CHUNK):
+                own.setdefault(int(c), np.zeros(CHUNK, bool))[at[at // CHUNK == c] % CHUNK] = True
+        yield pd.DataFrame({"chunk": list(own), "bits": [np.packbits(x, bitorder="little").tobytes() for x in own.values()]})
+
+    def unite(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in g.bits])
+        return pd.DataFrame({"chunk": g.chunk[:1], "bits": [x.tobytes()]})
+
+    kind = "chunk int, bits binary"
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in seeds_.select("h").mapInPandas(parts, kind).groupBy("chunk").applyInPandas(unite, kind).collect():
+        whole[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    return Filter(whole)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold an item, or half of its words in one stretch, one in seven replaced at most.
 
-    Seeds of all items are joined with those of all windows of all documents: the items, a stated query set,
-    are taken in blocks of BLOCK_CHARS, each sent to every task, and each document's seeds are looked up
-    in the block's sorted seeds. Around each hit the aligned words decide, on the whole text. However
+    Documents are read and hashed once, whatever the number of items: of the seeds of a document's windows those that pass a
+    filter of the items' seeds (2 ** MOST_BITS bits at most) are joined with the items' by hash, seeds that stand in very many
+    documents parted. Around each hit the aligned words decide, on the whole text. However
     the replaced words of a stretch lie, one of the masks reads only words that agree (the tests try all ways for
-    stretches of 27 to 34 words). Null and empty texts hold nothing and empty items are in nothing.
-    Copies of an item text under several ids are all reported.
+    stretches of 9 to 34 words); items with a half of fewer than SHORT words are sought by runs of up to three words. Null and
+    empty texts hold nothing and empty items are in nothing. Copies of an item text under several ids are all reported.
     """
-    asked = stage(items.filter("item_id is not null and text is not null").select("item_id", "text"), "p7-items")
-    blocks = max(1, -(-(asked.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
-    out = None
-    for k in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toPandas().sort_values("item_id")
-        block = Items(rows.item_id.tolist(), rows.text.tolist())
-        sent = documents.sparkSession.sparkContext.broadcast(block)
-
-        def look(batches, sent=sent):
-            own = sent.value
-            for b in batches:
-                found = [(d, i) for d, t in zip(b.doc_id, b.text) for i in own.leaked(codes(words(t)))]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id"], dtype="int64")
-
-        one = documents.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(look, "doc_id long, item_id long")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    empty = documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
+    asked = stage(items.filter("item_id is not null and text is not null").select("item_id", F.xxhash64("text").alias("item"), "text"), "p7-items")
+    texts = asked.groupBy("item").agg(F.min("text").alias("text"))
+
+    def own_seeds(batches):
+        for b in batches:
+            for part in in_chunks(b.text.str.len().tolist(), CHARS):
+                x = b.iloc[part]
+                who, found = hits(x.text.tolist(), None, None)
+                yield pd.DataFrame({"item": x.item.to_numpy()[who], **found})
+
+    bodies = stage(texts.mapInPandas(own_seeds, f"item long, {HITS}").withColumn("n", (F.length("codes") / 4).cast("int")), "p7-bodies")
+    zipped = F.explode(F.arrays_zip("h", "pos", "edge")).alias("s")
+    sought = stage(bodies.select("item", "n", zipped).select("item", "n", "s.h", F.col("s.pos").alias("at"), F.col("s.edge").alias("ends")), "p7-sought")
+    size = bodies.agg(F.sum("n").alias("w"), F.sum(F.size("h")).alias("h"), F.max(F.col("n") >= 2 * SHORT - 1).alias("long"), F.collect_set(F.when(F.col("n") < 2 * SHORT - 1, F.least(F.ceil(F.col("n") / 2), F.lit(3)))).alias("short")).first()
+    if not size.h:
+        return empty
+    masks = sorted({m for n in ([2 * SHORT] if size.long else []) + [2 * int(x) for x in size.short] for m in masks_of(n)})
+    sent = documents.sparkSession.sparkContext.broadcast(_filter_of(sought, size.h))
+
+    def look(batches):
+        known = sent.value
+        for b in batches:
+            for part in in_chunks(b.text.str.len().tolist(), CHARS):
+                x = b.iloc[part]
+                who, found = hits(x.text.tolist(), masks, known)
+                yield pd.DataFrame({"doc_id": x.doc_id.to_numpy()[who], "body": x.body.to_numpy()[who], **found})
+
+    rows = documents.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("body"), "text")
+    near = stage(rows.mapInPandas(look, f"doc_id long, body long, {HITS}"), "p7-near")
+    met = stage(near.select("doc_id", "body", zipped).select("doc_id", "body", "s.h", "s.pos", "s.edge"), "p7-met")
+    both = met.join(F.broadcast(sought), "h") if size.h <= SEEDS_SENT else join_salted(met, sought, ["h"])
+    lines = both.filter("edge or ends").select("doc_id", "body", "item", "n", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    lines = stage(lines, "p7-lines")
+    of_doc = near.select("doc_id", "body", "codes", (F.length("codes") / 4).cast("int").alias("words"))
+    lo = F.greatest(F.lit(0), -F.col("shift"))
+    hi = F.least(F.col("n"), F.col("words") - F.col("shift"))
+    cut = join_salted(lines, of_doc, ["doc_id", "body"]).select(
+        "doc_id", "item", "n", lo.alias("lo"), F.col("codes").substr((F.col("shift") + lo) * 4 + 1, (hi - lo) * 4).alias("part")
+    )
+    of_item = bodies.select("item", "codes")
+    cut = cut.join(F.broadcast(of_item), "item") if 4 * size.w <= SENT_BYTES else join_salted(stage(cut, "p7-cut"), of_item, ["item"])
+
+    @F.pandas_udf("boolean")
+    def holds(part: pd.Series, codes: pd.Series, lo: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(cover(part.tolist(), codes.tolist(), lo.to_numpy(), n.to_numpy()))
+
+    found = stage(cut.filter(holds("part", "codes", "lo", "n")).select("doc_id", "item").distinct(), "p7-found")
+    return join_salted(found, small(asked.select("item", "item_id").distinct()), ["item"]).select("doc_id", "item_id").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
