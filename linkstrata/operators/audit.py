@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkstrata.plans.staging import lookup
+
 KEYS = {
     "full_row": ["mentions", "sentence", "imgPath", "answer"],
     "mention_context": ["mentions", "sentence"],
@@ -50,11 +52,27 @@ def overlap_sample(rows: DataFrame, split: str, left: str, right: str, key: str,
 
 def gold_image_leakage(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(split, mentions, leaked): mentions with a known answer, and those whose image is one of the entity's."""
-    e = entities.select(F.col("qid").alias("_q"), "image_list")
-    m = mentions.select("split", "imgPath", F.upper(F.trim("answer")).alias("_a")).join(e, F.col("_a") == F.col("_q"))
+    e = entities.select(F.col("qid").alias("_a"), "image_list", F.lit(True).alias("_known"))
+    m = lookup(mentions.select("split", "imgPath", F.upper(F.trim("answer")).alias("_a")), e, "_a", 100_000).filter("_known")
     return m.groupBy("split").agg(F.count("*").alias("mentions"), F.count_if(F.coalesce(F.array_contains("image_list", F.col("imgPath")), F.lit(False))).alias("leaked"))
 
 
+def all_labels(*columns: tuple[DataFrame, str]) -> DataFrame:
+    """(label): every value that any of the columns has, once; nulls and empty texts are none. Arrays count by element."""
+    out = None
+    for rows, c in columns:
+        x = F.explode(c) if dict(rows.dtypes)[c].startswith("array") else F.col(c)
+        one = rows.select(x.alias("label")).filter("label <> ''").distinct()
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def samples(pairs: DataFrame, by: str, order: list[str], n: int = 20) -> DataFrame:
+    """The first n rows of each value of ``by``; ranks are cut before the shuffle, so no task gets a whole group."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
 def fingerprint(v: Column) -> tuple[Column, Column]:
     """Sign bits of a vector's first 64 numbers as two longs of 32 bits each."""
     bits = lambda at: F.aggregate(F.slice(v, at, 32), F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1) + F.when(x > 0, 1).otherwise(0))
@@ -132,6 +150,21 @@ def phash(rows: DataFrame, pixels: str = "pixels") -> DataFrame:
     return rows.withColumn("phash", one(F.col(pixels)))
 
 
+# The checks of the acceptance gate, in order.
+CHECKS = ("normalized_cross_split_zero", "exact_image_bytes_cross_split_zero", "gold_entity_exact_image_bytes_zero", "answer_id_filename_zero", "perceptual_review_complete")
+
+
+def six_part_gate(counts: DataFrame) -> DataFrame:
+    """(name, n, passed): the five CHECKS and 'accepted', whether all pass. ``counts``: name, n of what each check must not find.
+
+    A check without a count has not been made and fails.
+    """
+    wanted = counts.sparkSession.createDataFrame([(i, c) for i, c in enumerate(CHECKS)], "place int, name string")
+    each = wanted.join(F.broadcast(counts.groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("name").isin(*CHECKS))), "name", "left")
+    each = each.select("name", "n", (F.coalesce(F.col("n"), F.lit(-1)) == 0).alias("passed"))
+    return each.unionByName(each.agg(F.sum("n").alias("n"), F.bool_and("passed").alias("passed")).select(F.lit("accepted").alias("name"), "n", "passed"))
+
+
 def gate(checks: DataFrame) -> DataFrame:
     """``checks`` (name, passed) with ``accepted``: whether all passed. Without checks there is no row, hence no acceptance."""
     return checks.join(F.broadcast(checks.agg(F.bool_and("passed").alias("accepted"))))

@@ -81,6 +81,23 @@ def join_salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     return a.join(b, [*keys, "_salt"]).drop("_salt")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, limit: int = 500_000) -> DataFrame:
+    """Left join of ``rows`` with a table of one row a key. Null keys find nothing and never meet in one task; the key's column of ``table`` is dropped.
+
+    A table of up to ``limit`` rows is broadcast; a larger one is joined by shuffle, but for its rows of keys with more than
+    1/HOT_SHARE of all rows, fewer than HOT_SHARE, which are broadcast.
+    """
+    if table.count() <= limit:
+        return rows.join(F.broadcast(table), key, "left")
+    total = rows.count()
+    hot = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > total / HOT_SHARE).select(key)
+    none = [F.lit(None).cast(t).alias(c) for c, t in table.dtypes if c != key]
+    part = lambda kind: rows.join(F.broadcast(hot), key, kind)
+    found = part("left_semi").join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    found = found.unionByName(part("left_anti").filter(F.col(key).isNotNull()).join(table, key, "left"))
+    return found.unionByName(rows.filter(F.col(key).isNull()).select("*", *none))
+
+
 def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
     """``table`` with a broadcast hint if it has at most ``rows`` rows, else as it is, to be joined by shuffle.
 

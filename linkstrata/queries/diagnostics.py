@@ -35,10 +35,12 @@ LAYERS = [
 ]
 
 
-@query("with l as (select unnest([" + ", ".join(f"'{x}'" for x in LAYERS) + "]) name) select name, case when contains(name, 'projection') then 'projection' else (case when contains(name, 'vision') then 'vision' when contains(name, 'text') then 'text' else 'other' end) || '_' || (case when contains(name, 'attn') then 'attention' when contains(name, 'mlp') or contains(name, 'fc') then 'mlp' else 'other' end) end grp, (contains(name, 'attn') or contains(name, 'mlp')) and not contains(name, 'vision') chosen from l")
+@query("with l as (select replace(x, '.0.', '.' || n_nationkey || '.') as name from nation, (select unnest([" + ", ".join(f"'{x}'" for x in LAYERS) + "]) x)) select name, case when contains(name, 'projection') then 'projection' else (case when contains(name, 'vision') then 'vision' when contains(name, 'text') then 'text' else 'other' end) || '_' || (case when contains(name, 'attn') then 'attention' when contains(name, 'mlp') or contains(name, 'fc') then 'mlp' else 'other' end) end grp, (contains(name, 'attn') or contains(name, 'mlp')) and not contains(name, 'vision') chosen from l")
 def layer_groups(spark, d):
     n = F.col("name")
-    return spark.createDataFrame([(x,) for x in LAYERS], "name string").select("name", layers.group(n).alias("grp"), layers.selected(n, ["attn", "mlp"], ["vision"]).alias("chosen"))
+    at = F.concat(F.lit("."), F.col("n_nationkey").cast("string"), F.lit("."))
+    every = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, LAYERS))).alias("x")).select(F.replace("x", F.lit(".0."), at).alias("name"))
+    return every.select("name", layers.group(n).alias("grp"), layers.selected(n, ["attn", "mlp"], ["vision"]).alias("chosen"))
 
 
 @query(STAB + "select count(*) filter (where r0 = 1 and r1 <> 1) only_a, count(*) filter (where r0 <> 1 and r1 = 1) only_b, case when count(*) filter (where (r0 = 1) <> (r1 = 1)) > 0 then round(pow(greatest(abs(count(*) filter (where r0 = 1 and r1 <> 1) - count(*) filter (where r0 <> 1 and r1 = 1)) - 1, 0), 2) / count(*) filter (where (r0 = 1) <> (r1 = 1)), 6) else 0.0 end::double chi2 from p")
@@ -59,7 +61,7 @@ def image_coverage(spark, d):
     return rounded(coverage.coverage(m.select("split", "name"), m.filter("source = 'crowd'"), "name", "split"))
 
 
-@query("with s as (select id, case id % 3 when 0 then 'downloaded' when 1 then 'verified' else 'pending' end stage from kb_entity union all select id, 'extracted' from seed_entity), o as (select id, max(list_position(['pending', 'downloading', 'downloaded', 'verified', 'extracted', 'unpacked', 'arranged'], stage)) p from s group by id) select p::int - 1 as place, count(*) n from o group by all")
+@query("with s as (select id, case id % 3 when 0 then 'downloaded' when 1 then 'verified' else 'pending' end stage from kb_entity union all select id, 'extracted' from seed_entity), o as (select id, max(list_position(['pending', 'downloaded', 'verified', 'extracted', 'unpacked', 'arranged', 'done'], stage)) p from s group by id) select p::int - 1 as place, count(*) n from o group by all")
 def resume_state(spark, d):
     s = table(spark, d, "kb_entity").select(F.col("id").alias("name"), F.element_at(F.array(F.lit("downloaded"), F.lit("verified"), F.lit("pending")), F.col("id") % 3 + 1).alias("stage"))
     new = table(spark, d, "seed_entity").select(F.col("id").alias("name"), F.lit("extracted").alias("stage"))
@@ -80,10 +82,12 @@ def semi_join_answers(spark, d):
     return kb(spark, d).join(a, "qid", "left_semi").groupBy("qid").agg(F.min("id").alias("id"))
 
 
-@query("with r as (select unnest(['', 'CUDA out of memory.', 'bad shape', null]) message) select message, case when contains(lower(message), 'out of memory') then 'oom' when coalesce(trim(message), '') <> '' then 'error' end kind from r")
+@query("with r as (select case event_id % 4 when 0 then '' when 1 then 'CUDA Out of Memory at ' || user_id when 2 then 'bad shape ' || event_type end message from events) select coalesce(case when contains(lower(message), 'out of memory') then 'oom' when coalesce(trim(message), '') <> '' then 'error' end, 'none') kind, count(*) n from r group by all")
 def failure_kinds(spark, d):
-    r = spark.createDataFrame([("",), ("CUDA out of memory.",), ("bad shape",), (None,)], "message string")
-    return r.select("message", coverage.failed(F.col("message")).alias("kind"))
+    i = F.col("event_id") % 4
+    message = F.when(i == 0, "").when(i == 1, F.concat(F.lit("CUDA Out of Memory at "), F.col("user_id").cast("string"))).when(i == 2, F.concat(F.lit("bad shape "), "event_type"))
+    kinds = table(spark, d, "events").select(F.coalesce(coverage.failed(message), F.lit("none")).alias("kind"))
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("select answer, count(*) n, count(distinct mentions) spellings from mentions where answer is not null and upper(trim(answer)) <> 'NIL' group by answer having count(*) > 1")

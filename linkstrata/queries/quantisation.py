@@ -67,7 +67,7 @@ def quantize_affine_global(spark, d):
     return e.join(F.broadcast(m)).select("vec_id", F.transform(q, lambda x: F.round(x, 9)).alias("q"))
 
 
-@query(E + ", m as (select greatest(max(list_max(list_transform(v, lambda x: abs(x)))) / 7.0, 1e-12) s from e) select vec_id, list_transform(v, lambda x: round(greatest(least(round_even(x / s, 0), 15), 0) * s, 9)) compat, list_transform(v, lambda x: round(greatest(least(round_even(x / s, 0), 7), -7) * s + 0.0, 9) + 0.0) correct from e, m")
+@query(E + ", m as (select greatest(max(list_max(list_transform(v, lambda x: abs(x)))) / 7.0, 1e-12) s from e) select vec_id, list_transform(v, lambda x: round(greatest(least(round_even(x / s, 0), 15), 0) * s, 9) + 0.0) compat, list_transform(v, lambda x: round(greatest(least(round_even(x / s, 0), 7), -7) * s + 0.0, 9) + 0.0) correct from e, m")
 def fake_quantize_compat(spark, d):
     e = _emb(spark, d)
     m = e.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top"))
@@ -258,6 +258,11 @@ def opq_search(spark, d):
     return index.pq_search(*asked(spark, d), 10, 16, 6, True)
 
 
+@query()
+def index_benchmark(spark, d):
+    return index.benchmark(*asked(spark, d), 10, {"pq_16x6": (16, 6, False), "pq_32x6": (32, 6, False), "opq_16x6": (16, 6, True)})
+
+
 @query()
 def gptq_layers(spark, d):
     return rounded(quantize.gptq_rows(_emb(spark, d).select(F.col("label").cast("string").alias("layer"), F.col("vec_id").alias("id"), "v")))
