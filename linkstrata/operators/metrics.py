@@ -35,6 +35,14 @@ def guarded_corr(x: str, y: str) -> Column:
     return F.when(F.count(x) == 0, 0.0).when((sx < 1e-12) | (sy < 1e-12), 1.0).otherwise(F.covar_pop(x, y) / (sx * sy))
 
 
+def corr_of() -> Column:
+    """``guarded_corr`` from the sums of ``vectors.paired_moments``."""
+    n = F.col("n")
+    dev = lambda a, aa: F.sqrt(F.greatest(F.col(aa) / n - (F.col(a) / n) * (F.col(a) / n), F.lit(0.0)))
+    sx, sy = dev("x", "xx"), dev("y", "yy")
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).when((sx < 1e-12) | (sy < 1e-12), 1.0).otherwise((F.col("xy") / n - F.col("x") / n * F.col("y") / n) / (sx * sy))
+
+
 def rank_stability(pairs: DataFrame, base: str, other: str) -> DataFrame:
     """Flips, improvements and deltas between two ranks of the same queries."""
     d = F.col(other) - F.col(base)
@@ -89,3 +97,23 @@ def patience(steps: DataFrame, step: str, metric: str, wait: int) -> DataFrame:
     rows = rows.withColumn("island", F.sum(new.cast("int")).over(run))
     bad = F.row_number().over(Window.partitionBy("island").orderBy(step)) - 1
     return rows.withColumn("bad", bad).withColumn("stop", F.col("bad") >= wait).drop("island")
+
+
+def degraded(steps: DataFrame, step: str, metric: str, baseline: float, most: float, wait: int) -> DataFrame:
+    """``steps`` with the relative degradation against a baseline, how many steps in a row were beyond ``most``, and whether a run that waits for ``wait`` of them stops."""
+    loss = (F.lit(baseline) - F.col(metric)) / F.greatest(F.lit(baseline), F.lit(1e-8))
+    run = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a step of one run
+    rows = steps.withColumn("degradation", loss).withColumn("_good", (F.coalesce(F.col("degradation"), F.lit(0.0)) <= most).cast("int"))
+    rows = rows.withColumn("_island", F.sum("_good").over(run))
+    bad = F.sum(1 - F.col("_good")).over(Window.partitionBy("_island").orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("bad", bad).withColumn("stop", F.col("bad") >= wait).drop("_good", "_island")
+
+
+def both_recalls(ranks: DataFrame, lists: DataFrame, ks: list[int]) -> DataFrame:
+    """Recall by rank and by membership in the list of the best, side by side: they differ where equal scores or a short list cut the gold off.
+
+    ``ranks``: qid, rank; ``lists``: qid, gold, top.
+    """
+    x = ranks.select("qid", "rank").join(lists.select("qid", F.array_position("top", F.col("gold")).alias("at")), "qid", "left")
+    at = F.coalesce(F.col("at"), F.lit(0))
+    return x.agg(*(share(F.col("rank") <= k).alias(f"rank_recall_{k}") for k in ks), *(share(at.between(1, k)).alias(f"list_recall_{k}") for k in ks), F.count("*").alias("queries"))

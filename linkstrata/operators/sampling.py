@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +63,34 @@ def ablations(groups: DataFrame, name: str = "grp") -> DataFrame:
     return groups.join(F.broadcast(every)).select(F.col(name).alias("left_out"), F.array_except("_all", F.array(name)).alias("kept"))
 
 
-def diverse(rows: DataFrame, key: str, vector: str, n: int) -> list:
-    """Ids of n rows far apart: each next one has the largest distance to those chosen; ties go to the smaller id. n passes."""
-    from linkstrata.operators.vectors import doubles
-
-    chosen = [rows.orderBy(seeded(F.col(key)), key).select(key, vector).first()]
-    if chosen[0] is None:
-        return []
-    while len(chosen) < n:
-        far = F.lit(float("inf"))
-        for c in chosen:
-            v = F.array(*map(F.lit, map(float, c[1])))
-            far = F.least(far, F.aggregate(F.zip_with(doubles(F.col(vector)), v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-        left = rows.filter(~F.col(key).isin([c[0] for c in chosen]))
-        nxt = left.orderBy(F.desc(far), key).select(key, vector).first()
-        if nxt is None:
-            break
-        chosen.append(nxt)
-    return [c[0] for c in chosen]
+def _farthest(v: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of n rows: the first of a seeded order, then each time the one farthest from those chosen, ties by the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    v, place = v[order], order
+    first = min(range(len(ids)), key=lambda i: hashlib.md5(f"{ids[order[i]]}-0".encode()).digest())
+    out, far = [first], ((v - v[first]) ** 2).sum(1)
+    far[first] = -1.0
+    while len(out) < min(n, len(ids)):
+        nxt = int(far.argmax())
+        out.append(nxt)
+        far = np.minimum(far, ((v - v[nxt]) ** 2).sum(1))
+        far[out] = -1.0
+    return place[out]
+
+
+def diverse(rows: DataFrame, key: str, vector: str, n: int) -> DataFrame:
+    """(key, vector) of n rows far apart. Each task keeps n rows of what it has seen, farthest first, and one task picks among
+    these, which loses at most a factor of two of the distance that n rows can have to all others. Null vectors take no part."""
+
+    def pick(batches):
+        pool = None
+        for b in batches:
+            pool = b if pool is None else pd.concat([pool, b], ignore_index=True)
+            if len(pool):
+                at = _farthest(np.stack(pool[vector].map(np.asarray)).astype(float), pool[key].to_numpy(), n)
+                pool = pool.iloc[at].reset_index(drop=True)
+        if pool is not None:
+            yield pool
+
+    kind = f"{key} {dict(rows.dtypes)[key]}, {vector} {dict(rows.dtypes)[vector]}"
+    return rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInPandas(pick, kind).coalesce(1).mapInPandas(pick, kind)

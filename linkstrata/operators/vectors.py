@@ -83,7 +83,7 @@ def pool(ts: Column, width: int, how: str) -> Column:
     raise ValueError(f"no pooling named {how}")
 
 
-def _blocks(queries: DataFrame, columns: list[str]):
+def blocks(queries: DataFrame, columns: list[str]):
     """The stated query set in blocks of at most BLOCK rows, each as a pandas frame."""
     rows = queries.select(*columns).toLocalIterator(prefetchPartitions=False)
     block = []
@@ -96,20 +96,13 @@ def _blocks(queries: DataFrame, columns: list[str]):
         yield pd.DataFrame(block, columns=columns)
 
 
-def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+def union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     out = parts[0] if parts else empty
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def against(queries: DataFrame, base: DataFrame, condition: Column) -> DataFrame:
-    """``base`` beside every row of the stated query set that ``condition`` admits, for scores that are expressions; a block at a time."""
-    spark = base.sparkSession
-    parts = [base.join(F.broadcast(spark.createDataFrame([tuple(r) for r in b.itertuples(index=False)], queries.schema)), condition) for b in _blocks(queries, queries.columns)]
-    return _union(parts, base.join(F.broadcast(spark.createDataFrame([], queries.schema)), condition))
-
-
 def exact_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(qid, eid, score, rank): the k base vectors with the highest inner product of each query, itself left out.
 
@@ -118,7 +111,7 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     to 9 decimals; ties go to the smaller eid. Null vectors take no part.
     """
     parts = []
-    for b in _blocks(queries.filter("v is not null"), ["qid", "v"]):
+    for b in blocks(queries.filter("v is not null"), ["qid", "v"]):
         ids, q = b.qid.to_numpy(), np.stack(b.v.map(np.asarray)).astype(np.float64)
 
         def best(batches, ids=ids, q=q):
@@ -137,30 +130,83 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame({"qid": ids[r], "eid": eid[top[r, c]], "score": score[r, c]})
 
         parts.append(base.filter("v is not null").select("eid", "v").mapInPandas(best, "qid long, eid long, score double"))
-    found = _union(parts, base.sparkSession.createDataFrame([], "qid long, eid long, score double"))
+    found = union(parts, base.sparkSession.createDataFrame([], "qid long, eid long, score double"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "eid")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def scores(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """(qid, eid, score) of every query and every other base row, for aggregates that need all scores: never ranked or sorted here.
+def log_sums(queries: DataFrame, base: DataFrame, scale: float) -> DataFrame:
+    """(qid, logsum): ln of the sum of exp(scale x score) over all other base rows. Each batch gives a query one partial sum; no score leaves its task.
 
     ``queries``: qid, v, a stated set in blocks; ``base``: eid, v. Scores are rounded to 9 decimals; null vectors take no part.
     """
     parts = []
-    for b in _blocks(queries.filter("v is not null").select("qid", "v"), ["qid", "v"]):
+    for b in blocks(queries.filter("v is not null").select("qid", "v"), ["qid", "v"]):
         ids, q = b.qid.to_numpy(), np.stack(b.v.map(np.asarray)).astype(np.float64)
 
-        def every(batches, ids=ids, q=q):
+        def sums(batches, ids=ids, q=q):
             for x in batches:
                 if len(x):
-                    eid = x.eid.to_numpy()
-                    s = np.round(q @ np.stack(x.v.to_numpy()).astype(np.float64).T, 9)
-                    r, c = np.nonzero(ids[:, None] != eid[None, :])
-                    yield pd.DataFrame({"qid": ids[r], "eid": eid[c], "score": s[r, c]})
+                    z = scale * np.round(q @ np.stack(x.v.to_numpy()).astype(np.float64).T, 9)
+                    z[ids[:, None] == x.eid.to_numpy()[None, :]] = -np.inf
+                    top = z.max(1)
+                    on = np.isfinite(top)
+                    yield pd.DataFrame({"qid": ids[on], "top": top[on], "total": np.exp(z[on] - top[on, None]).sum(1)})
+
+        parts.append(base.filter("v is not null").select("eid", "v").mapInPandas(sums, "qid long, top double, total double"))
+    found = union(parts, base.sparkSession.createDataFrame([], "qid long, top double, total double"))
+    most = found.groupBy("qid").agg(F.max("top").alias("most"))
+    return found.join(most, "qid").groupBy("qid").agg((F.max("most") + F.ln(F.sum(F.col("total") * F.exp(F.col("top") - F.col("most"))))).alias("logsum"))
+
+
+def paired_moments(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """One row (n, x, y, xx, yy, xy, gap): sums over all pairs of a query and another row of their scores by v (x) and by w (y), and of |x - y|.
+
+    ``queries``: qid, v, w, a stated set in blocks; ``base``: eid, v, w. A batch gives one row. Scores are rounded to 9 decimals.
+    """
+    kind = "n long, x double, y double, xx double, yy double, xy double, gap double"
+    whole = "v is not null and w is not null"
+    parts = []
+    for b in blocks(queries.filter(whole).select("qid", "v", "w"), ["qid", "v", "w"]):
+        ids, (q, r) = b.qid.to_numpy(), (np.stack(b[c].map(np.asarray)).astype(np.float64) for c in "vw")
 
-        parts.append(base.filter("v is not null").select("eid", "v").mapInPandas(every, "qid long, eid long, score double"))
-    return _union(parts, base.sparkSession.createDataFrame([], "qid long, eid long, score double"))
+        def sums(batches, ids=ids, q=q, r=r):
+            for t in batches:
+                if len(t):
+                    x, y = (np.round(a @ np.stack(t[c].to_numpy()).astype(np.float64).T, 9) for a, c in ((q, "v"), (r, "w")))
+                    on = ids[:, None] != t.eid.to_numpy()[None, :]
+                    x, y = x[on], y[on]
+                    yield pd.DataFrame([(len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y, np.abs(x - y).sum())], columns=[f.split()[0] for f in kind.split(", ")])
+
+        parts.append(base.filter(whole).select("eid", "v", "w").mapInPandas(sums, kind))
+    return union(parts, base.sparkSession.createDataFrame([], kind)).agg(*(F.sum(f.split()[0]).alias(f.split()[0]) for f in kind.split(", ")))
+
+
+def best_fused(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """(qid, eid, score): the base row of the highest late fusion of each query: the mean of text, image and their product, or text alone where the row has no image.
+
+    ``queries``: qid, a, b, a stated set in blocks; ``base``: eid, a, b, missing. Scores are rounded to 9 decimals, ties go to the smaller eid.
+    """
+    parts = []
+    for block in blocks(queries.filter("a is not null and b is not null").select("qid", "a", "b"), ["qid", "a", "b"]):
+        ids, (qa, qb) = block.qid.to_numpy(), (np.stack(block[c].map(np.asarray)).astype(np.float64) for c in "ab")
+
+        def best(batches, ids=ids, qa=qa, qb=qb):
+            for t in batches:
+                if not len(t):
+                    continue
+                t = t.sort_values("eid", kind="stable")
+                x, y = (np.round(q @ np.stack(t[c].to_numpy()).astype(np.float64).T, 9) for q, c in ((qa, "a"), (qb, "b")))
+                s = np.round(np.where(t.missing.to_numpy(bool)[None, :], x, (x + y + x * y) / 3), 9)
+                s[ids[:, None] == t.eid.to_numpy()[None, :]] = -np.inf
+                at = s.argmax(1)
+                on = np.isfinite(s[np.arange(len(ids)), at])
+                yield pd.DataFrame({"qid": ids[on], "eid": t.eid.to_numpy()[at[on]], "score": s[on, at[on]]})
+
+        parts.append(base.filter("a is not null and b is not null").select("eid", "a", "b", "missing").mapInPandas(best, "qid long, eid long, score double"))
+    found = union(parts, base.sparkSession.createDataFrame([], "qid long, eid long, score double"))
+    top = found.groupBy("qid").agg(F.max(F.struct("score", -F.col("eid"))).alias("x"))
+    return top.select("qid", (-F.col("x.col2")).alias("eid"), F.col("x.score").alias("score"))
 
 
 def gold_ranks(queries: DataFrame, base: DataFrame) -> DataFrame:
@@ -170,7 +216,7 @@ def gold_ranks(queries: DataFrame, base: DataFrame) -> DataFrame:
     ordinal counts equal scores of smaller eids too. Rows without gold are left out; the query itself is no candidate.
     """
     parts = []
-    for b in _blocks(queries.filter("v is not null and gold_v is not null"), ["qid", "v", "gold", "gold_v"]):
+    for b in blocks(queries.filter("v is not null and gold_v is not null"), ["qid", "v", "gold", "gold_v"]):
         ids, gold = b.qid.to_numpy(), b.gold.to_numpy()
         q, g = (np.stack(b[c].map(np.asarray)).astype(np.float64) for c in ("v", "gold_v"))
         aim = np.round(np.einsum("ij,ij->i", q, g), 9)
@@ -188,7 +234,7 @@ def gold_ranks(queries: DataFrame, base: DataFrame) -> DataFrame:
             yield pd.DataFrame({"qid": ids, "gold": gold, "gold_score": aim, "above": above, "level": level})
 
         parts.append(base.filter("v is not null").select("eid", "v").mapInPandas(count, "qid long, gold long, gold_score double, above long, level long"))
-    found = _union(parts, base.sparkSession.createDataFrame([], "qid long, gold long, gold_score double, above long, level long"))
+    found = union(parts, base.sparkSession.createDataFrame([], "qid long, gold long, gold_score double, above long, level long"))
     by = found.groupBy("qid", "gold", "gold_score").agg(F.sum("above").alias("above"), F.sum("level").alias("level"))
     return by.select("qid", "gold", "gold_score", (F.col("above") + 1).alias("rank"), (F.col("above") + F.col("level") + 1).alias("ordinal"))
 
@@ -196,3 +242,47 @@ def gold_ranks(queries: DataFrame, base: DataFrame) -> DataFrame:
 def encode(rows: DataFrame, encoder, columns: list[str], schema: str) -> DataFrame:
     """Hook for encoders (E1, E2, O6): ``encoder(batches of pandas frames) -> frames`` is loaded once a task, rows it can't read are dropped by it."""
     return rows.select(*columns).mapInPandas(encoder, schema)
+
+
+MASKS = ("fused", "text", "vision", "flip")
+
+
+def masked(text: Column, image: Column, mode: str, width: int | None = None) -> tuple[Column, Column]:
+    """(text, image) as an encoder sees them: both, one with zeros for the other, or the image's rows of ``width`` numbers reversed."""
+    zeros = lambda c: F.transform(doubles(c), lambda x: F.lit(0.0))
+    if mode not in MASKS:
+        raise ValueError(f"no mode named {mode}")
+    if mode == "text":
+        return doubles(text), zeros(image)
+    if mode == "vision":
+        return zeros(text), doubles(image)
+    if mode == "flip":
+        w = width or 1
+        at = F.sequence(F.lit(0), (F.size(image) / w).cast("int") - 1)
+        return doubles(text), F.when(F.size(image) > 0, F.flatten(F.transform(at, lambda i: F.reverse(F.slice(doubles(image), i * w + 1, w))))).otherwise(doubles(image))
+    return doubles(text), doubles(image)
+
+
+def padded(ids: Column, length: int, pad: int = 0) -> tuple[Column, Column]:
+    """(ids, mask) of one length: longer lists are cut, shorter ones filled with ``pad``; the mask is 1 where an id stands. Null is an empty list."""
+    own = F.slice(F.coalesce(ids, F.array().cast("array<int>")), 1, length)
+    n = F.size(own)
+    return F.concat(own, F.array_repeat(F.lit(pad), F.lit(length) - n)), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+
+
+def batch_loss(rows: DataFrame, batch: str, scale: float, hard: str | None = None) -> DataFrame:
+    """(id, loss): contrastive cross-entropy of each row against its batch's entities, itself the right one, and all of its batch's hard negatives.
+
+    ``rows``: id, ``batch``, m (mention vector), e (entity vector), and with ``hard`` a list of vectors. The logit is the inner product
+    times ``scale``, 100 at most. Batches are of the size that a training step takes, so each is one group.
+    """
+
+    def loss(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id", kind="stable")
+        m, e = (np.stack(g[c].to_numpy()).astype(np.float64) for c in ("m", "e"))
+        more = [np.asarray(v, float) for vs in g[hard] if vs is not None for v in vs] if hard else []
+        z = min(scale, 100.0) * (m @ np.concatenate([e, np.stack(more)] if more else [e]).T)
+        top = z.max(1)
+        return pd.DataFrame({"id": g.id, "loss": top + np.log(np.exp(z - top[:, None]).sum(1)) - z[np.arange(len(g)), np.arange(len(g))]})
+
+    return rows.groupBy(batch).applyInPandas(loss, f"id {dict(rows.dtypes)['id']}, loss double")

@@ -306,11 +306,12 @@ def neighbor_overlap(spark, d):
 
 @query(NEIGHBOURS + "select round(corr(s0, s1), 6) correlation, round(avg(abs(s0 - s1)), 6) mae, count(*) n from s")
 def pairwise_cosine_corr(spark, d):
-    from linkstrata.operators.metrics import guarded_corr
+    from linkstrata.operators.metrics import corr_of
 
-    a, b = (vectors.scores(x.filter("eid % 100 = 0").withColumnRenamed("eid", "qid"), x) for x in _coarse(spark, d))
-    p = a.withColumnRenamed("score", "s0").join(b.withColumnRenamed("score", "s1"), ["qid", "eid"])
-    return p.agg(F.round(guarded_corr("s0", "s1"), 6).alias("correlation"), F.round(F.avg(F.abs(F.col("s0") - F.col("s1"))), 6).alias("mae"), F.count("*").alias("n"))
+    a, b = _coarse(spark, d)
+    e = a.join(b.withColumnRenamed("v", "w"), "eid")
+    m = vectors.paired_moments(e.filter("eid % 100 = 0").withColumnRenamed("eid", "qid"), e)
+    return m.select(F.round(corr_of(), 6).alias("correlation"), F.round(F.col("gap") / F.col("n"), 6).alias("mae"), "n")
 
 
 @query("with e as (select embedding::double[] v, list_transform(embedding::double[], lambda x: round(x * 4) / 4) w from embeddings), c as (select list_inner_product(v, w) / (greatest(sqrt(list_inner_product(v, v)), 1e-12) * greatest(sqrt(list_inner_product(w, w)), 1e-12)) c from e) select round(avg(c), 6) mean, round(quantile_cont(c, 0.1), 6) p10, round(min(c), 6) least from c")
@@ -320,6 +321,11 @@ def self_alignment(spark, d):
     return e.agg(F.round(F.avg("c"), 6).alias("mean"), F.round(F.percentile("c", 0.1), 6).alias("p10"), F.round(F.min("c"), 6).alias("least"))
 
 
+@query()
+def diverse_sample(spark, d):
+    return sampling.diverse(table(spark, d, "embeddings"), "vec_id", "embedding", 20).select("vec_id")
+
+
 @query()
 def image_phash(spark, d):
     e = table(spark, d, "entity_cache").filter("text_cls is not null")

@@ -172,12 +172,8 @@ def modality_agreement(spark, d):
 @query(HALVES + "select qid, eid from f")
 def late_fusion_masked(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("eid"), F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
-    q = e.filter("eid % 100 = 0").select(*(F.col(c).alias(f"q_{c}") for c in ("eid", "a", "b")))
-    s = vectors.against(q, e, F.col("q_eid") != F.col("eid"))
-    s = s.select("q_eid", "eid", F.round(vectors.dot(F.col("q_a"), F.col("a")), 9).alias("sa"), F.round(vectors.dot(F.col("q_b"), F.col("b")), 9).alias("sb"))
-    fused = F.round(vectors.late_fusion(F.col("sa"), F.col("sb"), F.col("sa") * F.col("sb"), F.col("eid") % 7 == 0), 9)
-    best = s.groupBy(F.col("q_eid").alias("qid")).agg(F.max_by("eid", F.struct(fused, -F.col("eid"))).alias("eid"))
-    return best
+    q = e.filter("eid % 100 = 0").withColumnRenamed("eid", "qid")
+    return vectors.best_fused(q, e.withColumn("missing", F.col("eid") % 7 == 0)).select("qid", "eid")
 
 
 def _pool_sql(expr: str) -> str:
@@ -209,9 +205,8 @@ select vec_id, list_transform(range(1, 9), lambda j: round(list_sum(list_transfo
 @query(CTE + "select qid, round(ln(sum(exp(least(100, 20.0) * s.score))) - least(100, 20.0) * max(gs.gold_score), 6) loss from s join gs using (qid) group by qid")
 def contrastive_loss(spark, d):
     q, base = asked(spark, d)
-    every = vectors.scores(q, base).join(q.select("qid", "gold"), "qid")
-    z = F.col("score") * 20.0
-    return rounded(every.groupBy("qid").agg((F.ln(F.sum(F.exp(z))) - F.max(F.when(F.col("eid") == F.col("gold"), z))).alias("loss")))
+    own = q.select("qid", (F.round(vectors.dot(F.col("v"), F.col("gold_v")), 9) * 20.0).alias("z"))
+    return rounded(vectors.log_sums(q, base, 20.0).join(own, "qid").select("qid", (F.col("logsum") - F.col("z")).alias("loss")))
 
 
 @query(CTE + f"select label, {_m([1, 10])}, round(avg(1.0 / rank), 6) mrr, median(rank)::double median_rank, round(avg(rank), 6) mean_rank, count(*) queries from r join q using (qid) group by label")
