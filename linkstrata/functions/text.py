@@ -1,4 +1,4 @@
-"""Text and path expressions that stay inside the JVM (inventory P1, P2, P6-P8, F1-F3, F5-F7, F9-F14)."""
+"""Text and path expressions that stay inside the JVM (inventory P1, P2, P6-P8, P10, S15, F1-F14, F17)."""
 
 from __future__ import annotations
 
@@ -86,3 +86,75 @@ def full_normal(c: Column) -> Column:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)))
 
     return plain(resolve(c))
+
+
+def pictured_page(title: Column, kind: Column, description: Column, image: Column) -> Column:
+    """Pages worth keeping: a title that is no list, no disambiguation by kind or description, and a jpg, jpeg or png. Nulls count as ''."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    unclear = (text(kind) == "disambiguation") | F.contains(F.lower(text(description)), F.lit("disambiguation"))
+    picture = F.lower(text(image)).rlike(r"\.(jpg|jpeg|png)$")
+    return (text(title) != "") & ~F.startswith(text(title), F.lit("List of")) & ~unclear & picture
+
+
+def resolved(path: Column, root: str, fallback: str) -> Column:
+    """An absolute path as it is, others below ``root``, or below ``fallback`` where no root is given; '.', '..' and repeated slashes resolved."""
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(f"{root or fallback}/"), path))
+
+    def step(stack: Column, part: Column) -> Column:
+        up = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+        return F.when(part.isin("", "."), stack).when(part == "..", up).otherwise(F.concat(stack, F.array(part)))
+
+    parts = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def file_name(title: Column, url: Column) -> Column:
+    """A name for a title's file: blanks and slashes as underscores, with the extension of the url's last part, if any."""
+    return F.concat(F.translate(title, " /", "__"), F.regexp_extract(url, r"[^/.][^/]*?(\.[^./]*)$", 1))
+
+
+def page_id(url: Column, number: Column) -> Column:
+    """What follows the last /wiki/ of an address, else UNK_ and a number."""
+    return F.when(F.contains(url, F.lit("/wiki/")), F.element_at(F.split(url, "/wiki/"), -1)).otherwise(F.concat(F.lit("UNK_"), number.cast("string")))
+
+
+def percent(share: Column) -> Column:
+    """A share with two decimals and a percent sign."""
+    return F.format_string("%.2f%%", 100.0 * share)
+
+
+def run_label(mode: Column, chunk: Column, entity_tile: Column, matcher_tile: Column) -> Column:
+    """mode_chunk_N, with the sizes of tiles that are above 0."""
+    tile = lambda name, n: F.when(n > 0, F.concat(F.lit(f"{name}_"), n.cast("string")))
+    return F.concat_ws("_", mode, F.lit("chunk"), chunk.cast("string"), tile("entity_tile", entity_tile), tile("tglu_tile", matcher_tile))
+
+
+def binary_size(n: Column) -> Column:
+    """Bytes with a binary unit and one decimal, '?' for null."""
+    x = n.cast("double")
+    out = F.format_string("%.1f PiB", x / float(1024**5))
+    for power, unit in reversed(list(enumerate(("B", "KiB", "MiB", "GiB", "TiB")))):
+        out = F.when(F.abs(x) < float(1024 ** (power + 1)), F.format_string(f"%.1f {unit}", x / float(1024**power))).otherwise(out)
+    return F.coalesce(F.when(x.isNotNull(), out), F.lit("?"))
+
+
+def joined_key(*parts: Column) -> Column:
+    """MD5 of the parts joined by underscores; null parts are left out."""
+    return F.md5(F.concat_ws("_", *(p.cast("string") for p in parts)))
+
+
+def sorted_key(**fields: Column) -> Column:
+    """MD5 of the fields as JSON in the order of their names, nulls kept, so how they were listed makes no difference."""
+    return F.md5(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}))
+
+
+def first_of(values: Column, default: str = "") -> Column:
+    """First element of a list, the default where it is null, empty or starts with null."""
+    return F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(default))
+
+
+def chosen_image(images: Column, key: Column, seed: int | None = None) -> Column:
+    """The first image of a list, or with a seed one picked by the row's key; null for null and empty lists."""
+    n = F.size(images)
+    at = F.lit(1) if seed is None else (F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint"), n) + 1).cast("int")
+    return F.when(n > 0, F.get(images, at - 1))

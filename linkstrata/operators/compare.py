@@ -50,6 +50,33 @@ def recommend(rows: DataFrame, metric: str, size: str, loss: float, baseline: Co
     return d.filter((F.col(f"{metric}_delta") >= -loss) & (F.col(f"{size}_delta") < 0))
 
 
+def find_one(rows: DataFrame, **keys) -> DataFrame:
+    """The first row by all columns that has these values; raises where there is none."""
+    cond = F.lit(True)
+    for k, v in keys.items():
+        cond = cond & F.col(k).eqNullSafe(F.lit(v))
+    found = rows.filter(cond).orderBy(*rows.columns).limit(1)
+    if not found.head(1):
+        raise LookupError(f"no row with {keys}")
+    return found
+
+
+def conservative(rows: DataFrame, chosen: dict, baseline: dict, losses: list[str], cost: str) -> DataFrame:
+    """The chosen row with its losses against a baseline row and how many times cheaper it is; raises where either is missing."""
+    base = find_one(rows, **baseline).select(*(F.col(c).alias(f"_{c}") for c in [*losses, cost]))
+    own = find_one(rows, **chosen).join(F.broadcast(base))
+    deltas_ = [(F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in losses]
+    return own.select(*rows.columns, *deltas_, (F.col(f"_{cost}") / F.greatest(F.col(cost), F.lit(1e-9))).alias(f"{cost}_ratio"))
+
+
+def tradeoffs(rows: DataFrame, name: str, flat: str, quality: list[str], size: str) -> DataFrame:
+    """``rows`` (an index each) against the flat one: drops of quality, what they save and how many times smaller they are."""
+    base = find_one(rows, **{name: flat}).select(*(F.col(c).alias(f"_{c}") for c in [*quality, size]))
+    drops = [(F.col(f"_{c}") - F.col(c)).alias(f"{c}_drop") for c in quality]
+    saved = (F.col(f"_{size}") - F.col(size)).alias("saving")
+    return rows.join(F.broadcast(base)).select(*rows.columns, *drops, saved, (F.col(f"_{size}") / F.greatest(F.col(size), F.lit(1e-12))).alias("compression"))
+
+
 def union_rows(parts: list[DataFrame]) -> DataFrame:
     """All rows, all columns, null where a part lacks one."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -28,5 +28,6 @@ def ranking(snr: DataFrame, low: str = "int4", high: str = "int8") -> DataFrame:
 
 
 def degradation(rows: DataFrame, ids: list[str], metrics: list[str], baseline: float) -> DataFrame:
-    """(ids, metric, degradation): the baseline less each metric."""
-    return rows.unpivot(ids, metrics, "metric", "value").select(*ids, "metric", (F.lit(baseline) - F.col("value")).alias("degradation"))
+    """(ids, metric, degradation, relative): the baseline less each metric, and that over the baseline, which counts as 1e-8 at least."""
+    gap = F.lit(baseline) - F.col("value")
+    return rows.unpivot(ids, metrics, "metric", "value").select(*ids, "metric", gap.alias("degradation"), (gap / F.greatest(F.lit(baseline), F.lit(1e-8))).alias("relative"))

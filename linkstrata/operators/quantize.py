@@ -71,6 +71,121 @@ def quantized(v: Column, s: Column, mode: str) -> Column:
     return half(v) if mode == "fp16" else decode(codes(v, s, bits_of(mode)), s)
 
 
+def packed(v: Column, mode: str) -> Column:
+    """A vector as stored: codes and a scale in float16 precision, by which they are made; fp modes keep numbers as codes without a scale.
+
+    struct<q: array<tinyint>, scale: double, plain: array<double>>; what a mode has no use for is null, as is a null vector.
+    """
+    no_codes, no_plain = F.lit(None).cast("array<tinyint>"), F.lit(None).cast("array<double>")
+    if mode in ("fp32", "fp16"):
+        return F.when(v.isNotNull(), F.struct(no_codes.alias("q"), F.lit(None).cast("double").alias("scale"), quantized(v, F.lit(0.0), mode).alias("plain")))
+    s = F.get(half(F.array(scale(v, bits_of(mode)))), F.lit(0))
+    # A scale that float16 can't hold is 0 there, and so are the codes.
+    q = let(s, lambda t: F.transform(doubles(v), lambda x: F.when(t > 0, F.greatest(F.least(F.rint(x / t), F.lit(float(2 ** (bits_of(mode) - 1) - 1))), F.lit(-float(2 ** (bits_of(mode) - 1) - 1)))).otherwise(0.0).cast("tinyint")))
+    return F.when(v.isNotNull(), F.struct(q.alias("q"), s.alias("scale"), no_plain.alias("plain")))
+
+
+def unpacked(p: Column) -> Column:
+    """The vector of a packed one."""
+    return F.coalesce(p["plain"], decode(p["q"], p["scale"]))
+
+
+def pack_tensors(rows: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """``rows`` with each tensor of ``modes`` packed in its own mode, in one pass."""
+    return rows.withColumns({t: packed(F.col(t), m) for t, m in modes.items()})
+
+
+def pack_report(rows: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """(tensor, mode, vectors, logical_bytes, physical_bytes, mae, max_error) of each tensor under its mode, from one pass over the table."""
+    each = F.array(*(F.struct(F.lit(t).alias("tensor"), F.lit(m).alias("mode"), F.size(t).alias("n"), error_sums(F.col(t), unpacked(packed(F.col(t), m))).alias("e"), F.col(t).isNotNull().alias("ok")) for t, m in modes.items()))
+    x = rows.select(F.explode(each).alias("x")).select("x.*").filter("ok")
+    by = x.groupBy("tensor", "mode").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("vectors"), (F.sum("e.ad") / F.sum("n")).alias("mae"), F.max("e.md").alias("max_error"))
+    logical, physical = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for m in sorted(set(modes.values())):
+        logical = F.when(F.col("mode") == m, logical_bytes(F.col("n"), F.col("vectors"), m)).otherwise(logical)
+        physical = F.when(F.col("mode") == m, physical_bytes(F.col("n"), F.col("vectors"), m)).otherwise(physical)
+    return by.select("tensor", "mode", "vectors", logical.alias("logical_bytes"), physical.alias("physical_bytes"), "mae", "max_error")
+
+
+def quantize_layers(weights: DataFrame, mode: str, chosen: Column) -> DataFrame:
+    """``weights`` (layer, row, v) with the chosen layers' rows after a round trip, a scale for each output channel; the others as they are."""
+    bits = bits_of(mode)
+    q = doubles(F.col("v")) if bits == 32 else quantized(F.col("v"), scale(F.col("v"), bits if bits <= 8 else 8), mode)
+    return weights.withColumn("chosen", F.coalesce(chosen, F.lit(False))).withColumn("v", F.when(F.col("chosen"), q).otherwise(doubles(F.col("v"))))
+
+
+def layer_counts(quantised: DataFrame) -> DataFrame:
+    """(layers, chosen_layers, parameters, chosen_parameters) of ``quantize_layers``."""
+    n = quantised.groupBy("layer").agg(F.max("chosen").alias("chosen"), F.sum(F.size("v")).alias("n"))
+    return n.agg(F.count("*").alias("layers"), F.count_if("chosen").alias("chosen_layers"), F.sum("n").alias("parameters"), F.coalesce(F.sum(F.when(F.col("chosen"), F.col("n"))), F.lit(0)).alias("chosen_parameters"))
+
+
+def with_outliers(values: DataFrame, value: str, by: list[str], bits: int, how: str, width: float = 3.0) -> DataFrame:
+    """``values`` with ``q``, the value after a round trip under its group's scale, and ``far``, whether it is an outlier.
+
+    ``how``: 'clip' moves outliers to mean +- width sample deviations first, 'absorb' lets the scale take them in, 'fp16' keeps
+    them in float16 and quantises the rest as if they were 0. The scale is the largest magnitude over 2^(bits-1) - 1.
+    """
+    if how not in ("clip", "absorb", "fp16"):
+        raise ValueError(f"no handling named {how}")
+    x, most = F.col(value), float(2 ** (bits - 1) - 1)
+    stats = values.groupBy(*by).agg(F.avg(x).alias("_m"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("_s"))
+    rows = values.join(F.broadcast(stats), by) if by else values.join(F.broadcast(stats))
+    far = F.abs(x - F.col("_m")) > width * F.col("_s")
+    lo, hi = F.col("_m") - width * F.col("_s"), F.col("_m") + width * F.col("_s")
+    kept = {"clip": F.least(F.greatest(x, lo), hi), "absorb": x, "fp16": F.when(far, 0.0).otherwise(x)}[how]
+    rows = rows.withColumn("far", far).withColumn("_y", kept)
+    top = rows.groupBy(*by).agg(F.greatest(F.max(F.abs("_y")) / most, F.lit(FLOOR)).alias("_scale"))
+    rows = rows.join(F.broadcast(top), by) if by else rows.join(F.broadcast(top))
+    q = F.greatest(F.least(F.rint(F.col("_y") / F.col("_scale")), F.lit(most)), F.lit(-most)) * F.col("_scale")
+    if how == "fp16":
+        q = F.when(F.col("far"), F.get(half(F.array(x)), F.lit(0))).otherwise(q)
+    return rows.withColumn("q", q).drop("_m", "_s", "_y", "_scale")
+
+
+def straight_through(values: DataFrame, value: str, bits: int, symmetric: bool = True) -> DataFrame:
+    """``values`` with ``q``: the forward value of quantisation-aware training, one scale for the table.
+
+    Symmetric codes are clamped to both signs; affine ones to [0, 2^bits - 1] with a zero point that is no whole number. A scale of
+    zero leaves values as they are. The gradient passes as if nothing was done, so only the forward value is here.
+    """
+    m = values.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    x, lo, hi = F.col(value), F.col("_lo"), F.col("_hi")
+    most = float(2 ** (bits - 1) - 1) if symmetric else float(2**bits - 1)
+    s = F.greatest(F.abs(lo), F.abs(hi)) / most if symmetric else (hi - lo) / most
+    q = F.greatest(F.least(F.rint(x / s), F.lit(most)), F.lit(-most)) * s if symmetric else (F.greatest(F.least(F.rint(x / s - lo / s), F.lit(most)), F.lit(0.0)) + lo / s) * s
+    return values.join(F.broadcast(m)).withColumn("q", F.when(s > 0, q).otherwise(x)).drop("_lo", "_hi")
+
+
+def sensitivity(rows: DataFrame, layer: str, v: str, bits: tuple[int, ...] = (2, 3, 4, 6, 8)) -> DataFrame:
+    """(layer, bits, mse, snr_db): what each number of bits costs each layer, with one scale a layer. ``rows`` are its weights or its activations.
+
+    All numbers of bits are taken in one pass over the rows, after one for the scales.
+    """
+    top = rows.groupBy(layer).agg(F.max(F.array_max(F.transform(doubles(F.col(v)), lambda x: F.abs(x)))).alias("_top"))
+    each = F.array(*(F.struct(F.lit(b).alias("bits"), error_sums(F.col(v), fake_quantize(F.col(v), F.col("_top"), b)).alias("e")) for b in bits))
+    x = rows.filter(F.col(v).isNotNull()).join(F.broadcast(top), layer).select(layer, F.explode(each).alias("x")).select(layer, "x.bits", "x.e")
+    return error_stats(x, [layer, "bits"]).select(layer, "bits", "mse", "snr_db")
+
+
+def norm_errors(rows: DataFrame, by: list[str], v: str = "v", q: str = "q") -> DataFrame:
+    """(by, norm_error, max_error, mean_error): mean difference of norms, largest and mean difference of components."""
+    size = lambda c: F.sqrt(F.aggregate(doubles(F.col(c)), F.lit(0.0), lambda s, x: s + x * x))
+    gap = F.zip_with(doubles(F.col(v)), doubles(F.col(q)), lambda x, y: F.abs(x - y))
+    x = rows.select(*by, F.abs(size(q) - size(v)).alias("d"), F.array_max(gap).alias("m"), F.aggregate(gap, F.lit(0.0), lambda s, x: s + x).alias("t"), F.size(v).alias("n"))
+    return x.groupBy(*by).agg(F.avg("d").alias("norm_error"), F.max("m").alias("max_error"), (F.sum("t") / F.sum("n")).alias("mean_error"))
+
+
+def shard_sizes(rows: DataFrame, shard: str, tensors: dict[str, str]) -> DataFrame:
+    """(tensor, mode, bytes, shards, least, mean, most): logical bytes of each tensor over all shards, and of a shard."""
+    each = F.array(*(F.struct(F.lit(t).alias("tensor"), F.lit(m).alias("mode"), F.coalesce(F.when(F.col(t).isNotNull(), F.size(t)), F.lit(0)).alias("n"), F.col(t).isNotNull().cast("int").alias("one")) for t, m in tensors.items()))
+    by = rows.select(shard, F.explode(each).alias("x")).groupBy(shard, "x.tensor", "x.mode").agg(F.sum("x.n").alias("n"), F.sum("x.one").alias("vectors"))
+    size = F.lit(None).cast("long")
+    for m in sorted(set(tensors.values())):
+        size = F.when(F.col("mode") == m, logical_bytes(F.col("n"), F.col("vectors"), m)).otherwise(size)
+    return by.withColumn("b", size).groupBy("tensor", "mode").agg(F.sum("b").alias("bytes"), F.count("*").alias("shards"), F.min("b").alias("least"), F.avg("b").alias("mean"), F.max("b").alias("most"))
+
+
 def affine(v: Column, lo: Column, hi: Column, bits: int) -> Column:
     """Round trip with a scale and zero point of the whole table; a range of zero leaves the vector as it is."""
     most = float(2**bits - 1)

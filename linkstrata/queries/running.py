@@ -48,40 +48,36 @@ def best_so_far(spark, d):
     return metrics.patience(_days(spark, d), "day", "m", 3).select("day", "best")
 
 
-# Published throughput rows (chunk, mode, queries a second, seconds, MB).
-RUNS = [
-    (1000, "fp32", 8.393, 476.85, 1680.02), (1000, "int4", 15.078, 265.41, 1680.08), (2500, "fp32", 9.063, 441.58, 3244.45),
-    (2500, "int4", 15.925, 251.31, 3243.63), (5000, "fp32", 9.074, 440.92, 5851.28), (5000, "int4", 17.086, 234.23, 5851.15),
-    (10000, "fp32", 9.229, 433.62, 11063.21), (10000, "int4", 17.302, 231.30, 11063.21),
-]
-VALUES = "with r(chunk, mode, qps, seconds, mb) as (values " + ", ".join(f"({c}, '{m}', {q}::double, {s}::double, {b}::double)" for c, m, q, s, b in RUNS) + ")"
+# Runs as groups of the line items: a chunk size and a mode each, with three measures.
+VALUES = "with r as (select (l_linenumber * 1000)::int chunk, l_returnflag as mode, round(avg(l_quantity::double), 6) qps, round(avg(l_extendedprice::double), 6) as seconds, count(*)::double as mb from lineitem group by all)"
 
 
-def _runs(spark):
-    return spark.createDataFrame(RUNS, "chunk int, mode string, qps double, seconds double, mb double")
+def _runs(spark, d):
+    by = table(spark, d, "lineitem").groupBy((F.col("l_linenumber") * 1000).cast("int").alias("chunk"), F.col("l_returnflag").alias("mode"))
+    return rounded(by.agg(F.avg(F.col("l_quantity").cast("double")).alias("qps"), F.avg(F.col("l_extendedprice").cast("double")).alias("seconds"), F.count("*").cast("double").alias("mb")))
 
 
-@query(VALUES + " select a.chunk, a.mode, round(a.qps - b.qps, 6) qps_delta, round(a.seconds - b.seconds, 6) seconds_delta from r a left join r b on a.chunk = b.chunk and b.mode = 'fp32'")
+@query(VALUES + " select a.chunk, a.mode, round(a.qps - b.qps, 6) qps_delta, round(a.seconds - b.seconds, 6) seconds_delta from r a left join r b on a.chunk = b.chunk and b.mode = 'N'")
 def same_chunk_deltas(spark, d):
-    return rounded(compare.deltas(_runs(spark), F.col("mode") == "fp32", ["qps", "seconds"], ["chunk"]).select("chunk", "mode", "qps_delta", "seconds_delta"))
+    return rounded(compare.deltas(_runs(spark, d), F.col("mode") == "N", ["qps", "seconds"], ["chunk"]).select("chunk", "mode", "qps_delta", "seconds_delta"))
 
 
-@query(VALUES + " select budget, arg_max(chunk, qps) chunk, arg_max(mode, qps) as mode, max(qps) qps from r join (select unnest([2000, 4000, 6000, 12000]) budget) b on r.mb <= b.budget group by budget")
+@query(VALUES + " select budget, arg_max(chunk, qps) chunk, arg_max(mode, qps) as mode, max(qps) qps from r join (select unnest([100, 300, 3000, 30000]) budget) b on r.mb <= b.budget group by budget")
 def budget_table(spark, d):
-    b = spark.createDataFrame([(2000,), (4000,), (6000,), (12000,)], "budget int")
-    fits = _runs(spark).join(F.broadcast(b), F.col("mb") <= F.col("budget"))
+    b = spark.createDataFrame([(100,), (300,), (3000,), (30000,)], "budget int")
+    fits = _runs(spark, d).join(F.broadcast(b), F.col("mb") <= F.col("budget"))
     return fits.groupBy("budget").agg(F.max_by("chunk", "qps").alias("chunk"), F.max_by("mode", "qps").alias("mode"), F.max("qps").alias("qps"))
 
 
 @query(VALUES + " select chunk, mode, qps, seconds, null::double as mb from r where chunk = 1000 union all select chunk, mode, null, null, mb from r where chunk <> 1000")
 def union_by_name(spark, d):
-    r = _runs(spark)
+    r = _runs(spark, d)
     return compare.union_rows([r.filter("chunk = 1000").drop("mb"), r.filter("chunk <> 1000").select("chunk", "mode", "mb")])
 
 
 @query(VALUES + " select chunk, mode, metric, value from r unpivot (value for metric in (qps, seconds, mb))")
 def metrics_unpivot(spark, d):
-    return compare.tall(_runs(spark), ["chunk", "mode"], ["qps", "seconds", "mb"])
+    return compare.tall(_runs(spark, d), ["chunk", "mode"], ["qps", "seconds", "mb"])
 
 
 @query("select row_id, coalesce(try_cast(substr(id, 2, 4) as double), 0) as number, coalesce(try_cast(trunc(try_cast(substr(id, 2, 4) as double)) as int), 0) as whole from mentions")

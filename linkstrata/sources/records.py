@@ -1,4 +1,4 @@
-"""Readers of records (S1-S13, S16, S24, S25). All return DataFrames; bad records are dropped and can be counted, never fatal."""
+"""Readers of records (S1-S13, S16, S24). All return DataFrames; bad records are dropped and can be counted, never fatal."""
 
 from __future__ import annotations
 
@@ -114,3 +114,56 @@ def image_bytes(spark: SparkSession, path: str) -> DataFrame:
 def dummy(spark: SparkSession, mentions: int = 100, entities: int = 10) -> DataFrame:
     """(id, mention, entity): synthetic mentions whose gold is their number modulo the entities."""
     return spark.range(mentions).select("id", F.concat(F.lit("mention_"), F.col("id").cast("string")).alias("mention"), (F.col("id") % entities).alias("entity"))
+
+
+def json_line_records(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Records of files with one a line: files are parted anywhere, so one of any size is read by many tasks. Broken lines are left out."""
+    return parsed(spark.read.text(paths).filter("trim(value) <> ''"), "value", schema).drop("value")
+
+
+def first_matches(spark: SparkSession, root: str, patterns: dict[str, list[str]]) -> dict[str, str]:
+    """For each name the first file, by path, of the first of its patterns that matches below ``root``; names without any are left out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs, found = at.getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    for name, own in patterns.items():
+        for p in own:
+            hits = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{p}"))
+            if hits:
+                found[name] = sorted(h.getPath().toString() for h in hits)[0]
+                break
+    return found
+
+
+def by_manifest(spark: SparkSession, path: str, modes: dict[str, str], version: str, shard: str = "shard") -> DataFrame:
+    """A table written by ``sinks.with_manifest``, if its manifest has these modes and version for all shards; raises otherwise.
+
+    Rows have ``part``, their shard's place in the manifest; order comes from it, not from files.
+    """
+    m = spark.read.parquet(f"{path}.manifest")
+    wanted = spark.createDataFrame(sorted(modes.items()), "tensor string, mode string")
+    good = m.filter((F.col("version") == version) & F.col("complete")).join(wanted, ["tensor", "mode"], "left_semi").groupBy("shard").agg(F.count("*").alias("n"), F.max("rows").alias("rows"))
+    shards = m.select("shard").distinct()
+    if shards.join(good.filter(F.col("n") == len(modes)), "shard", "left_anti").head(1) or not good.head(1):
+        raise ValueError("the manifest names other modes or another version")
+    from linkstrata.operators.gold import dense_positions
+
+    places = dense_positions(good.select("shard"), "shard", "part")
+    rows = spark.read.parquet(path)
+    return rows.join(F.broadcast(places), rows[shard].cast("string") == places["shard"]).select(*(rows[c] for c in rows.columns), "part")
+
+
+def two_level_config(text: str) -> dict:
+    """Settings of a text with 'key: value' lines, indented ones belonging to the last 'section:' line; '#' starts a comment, quotes around values are dropped."""
+    out: dict = {}
+    own = out
+    for line in text.splitlines():
+        line = line.partition("#")[0].rstrip()
+        name, _, value = line.strip().partition(":")
+        if not name:
+            continue
+        value = value.strip().strip("'\"")
+        if not value:
+            own = out[name.strip()] = {}
+        else:
+            (own if line[0].isspace() else out)[name.strip()] = value
+    return out

@@ -55,8 +55,21 @@ def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     want = sorted(map(tuple, vectors.exact_topk(q, base, 4).collect()))
     monkeypatch.setattr(vectors, "BLOCK", 2)
     assert sorted(map(tuple, vectors.exact_topk(q, base.repartition(5), 4).collect())) == want
-    many = vectors.against(q.select("qid", F.col("v").alias("w")), base, F.col("qid") != F.col("eid"))
-    assert many.count() == 9 * 39 and vectors.against(q.select("qid").limit(0), base, F.col("qid") != F.col("eid")).count() == 0
+    x = np.array([r.v for r in base.orderBy("eid").collect()])
+    s = np.round(x[:9] @ x.T, 9)
+    off = ~np.eye(9, 40, dtype=bool)
+    sums = dict(map(tuple, vectors.log_sums(q, base.repartition(5), 3.0).collect()))
+    assert all(sums[i] == pytest.approx(np.log(np.exp(3 * s[i][off[i]]).sum())) for i in range(9))
+    pair = base.withColumn("w", F.transform("v", lambda y: -y * y))
+    m = vectors.paired_moments(pair.filter("eid < 9").withColumnRenamed("eid", "qid"), pair).select(metrics.corr_of().alias("c"), "n").first()
+    t = np.round((-x[:9] ** 2) @ (-x**2).T, 9)
+    assert m.n == 9 * 39 and m.c == pytest.approx(np.corrcoef(s[off], t[off])[0, 1])
+    both = base.select("eid", F.col("v").alias("a"), F.col("v").alias("b"), (F.col("eid") % 3 == 0).alias("missing"))
+    fused = np.where(np.arange(40) % 3 == 0, s, (2 * s + s * s) / 3)
+    best = {r.qid: r.eid for r in vectors.best_fused(both.filter("eid < 9").withColumnRenamed("eid", "qid"), both).collect()}
+    assert best == {i: int(np.where(off[i], fused[i], -np.inf).argmax()) for i in range(9)}
+    for f in (lambda q: vectors.log_sums(q, base, 1.0), lambda q: vectors.exact_topk(q, base, 2)):
+        assert f(q.limit(0)).count() == 0
 
 
 @settings(max_examples=15, deadline=None)
@@ -168,8 +181,16 @@ def test_image_lists_keep_order_and_repeats(spark):
 def test_gate_and_freeze(spark):
     g = audit.gate(one(spark, "name string, passed boolean", [("a", True), ("b", False)])).collect()
     assert not any(r.accepted for r in g)
-    with pytest.raises(ValueError):
-        sanitize.freeze(spark.range(1), False)
+    six = lambda *n: audit.six_part_gate(one(spark, "name string, n bigint", list(zip(audit.CHECKS, n))))
+    assert {r.name: r.passed for r in six(0, 0, 0, 0, 0).collect()} == dict.fromkeys([*audit.CHECKS, "accepted"], True)
+    assert [r.passed for r in six(0, 0, 3, 0, 0).filter("name = 'accepted'").collect()] == [False]
+    assert [r.passed for r in six(0, 0).filter("name = 'accepted'").collect()] == [False]
+    ids = one(spark, "n int, id string", [(2, "b"), (1, "a"), (3, None)])
+    for refused in (six(0, 0, 0, 0, 1), six(0).limit(0)):
+        with pytest.raises(ValueError):
+            sanitize.freeze(refused, {"q": (ids, "n", "id")})
+    a, b = (sanitize.freeze(six(0, 0, 0, 0, 0), {"q": (x, "n", "id")}).collect()[0] for x in (ids, ids.repartition(3)))
+    assert a == b and a.n == 3 and len(a.sha) == 64
 
 
 def test_positions_and_last_wins(spark):
@@ -215,8 +236,8 @@ def test_samples(spark):
     s = sampling.stratified(r, "l", "id", 10).groupBy("l").count()
     assert dict(col(s, "l", "count")) == {"a": 9, "b": 1}
     d = one(spark, "id int, v array<double>", [(i, [float(i // 10), 0.0]) for i in range(30)])
-    ids = sampling.diverse(d, "id", "v", 3)
-    assert len({i // 10 for i in ids}) == 3 and sampling.diverse(d.limit(0), "id", "v", 3) == []
+    ids = [r.id for r in sampling.diverse(d, "id", "v", 3).collect()]
+    assert len({i // 10 for i in ids}) == 3 and sampling.diverse(d.limit(0), "id", "v", 3).count() == 0
 
 
 def test_pq_finds_near_vectors(spark):
@@ -353,9 +374,9 @@ def test_coverage_and_resume(spark):
     got = {r.f: (r.checked, r.found, r.percent, r.covered) for r in coverage.coverage(w, one(spark, "name string", [("x",), (None,)]), "name", "f").collect()}
     assert got == {"a": (2, 1, 50.0, False), "b": (0, 0, 100.0, True)}
     s = one(spark, "name string, stage string", [("x", "verified"), ("y", "pending")])
-    e = one(spark, "name string, stage string", [("x", "downloaded"), ("y", "downloading"), ("z", "nonsense")])
+    e = one(spark, "name string, stage string", [("x", "downloaded"), ("y", "pending"), ("z", "nonsense")])
     after = coverage.advance(s, e)
-    assert dict(col(after, "name", "stage")) == {"x": "verified", "y": "downloading", "z": "nonsense"}
+    assert dict(col(after, "name", "stage")) == {"x": "verified", "y": "pending", "z": "nonsense"}
     assert sorted(r.name for r in coverage.todo(after, after.select("name"), "downloaded").collect()) == ["y", "z"]
 
 
