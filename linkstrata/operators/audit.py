@@ -57,6 +57,18 @@ def gold_image_leakage(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return m.groupBy("split").agg(F.count("*").alias("mentions"), F.count_if(F.coalesce(F.array_contains("image_list", F.col("imgPath")), F.lit(False))).alias("leaked"))
 
 
+def file_pairs(mentions: DataFrame, entities: DataFrame, by: str) -> DataFrame:
+    """(by, pairs, gold): mention and entity rows that share a file, and of these the entity that is the mention's answer. Counted, never listed.
+
+    ``mentions``: ``by``, a (answer), p (file); ``entities``: distinct qid, p. Blank files are none.
+    """
+    m = mentions.filter("p <> ''").groupBy(by, "p", "a").agg(F.count("*").alias("n"))
+    n = entities.filter("p <> ''").groupBy("p").agg(F.count("*").alias("e"))
+    pairs = m.groupBy(by, "p").agg(F.sum("n").alias("n")).join(n, "p").groupBy(by).agg(F.sum(F.col("n") * F.col("e")).alias("pairs"))
+    own = m.join(entities.select(F.col("qid").alias("a"), "p"), ["p", "a"]).groupBy(by).agg(F.sum("n").alias("gold"))
+    return pairs.join(own, by, "left").select(by, "pairs", F.coalesce("gold", F.lit(0)).alias("gold"))
+
+
 def all_labels(*columns: tuple[DataFrame, str]) -> DataFrame:
     """(label): every value that any of the columns has, once; nulls and empty texts are none. Arrays count by element."""
     out = None

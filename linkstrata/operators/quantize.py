@@ -186,6 +186,22 @@ def shard_sizes(rows: DataFrame, shard: str, tensors: dict[str, str]) -> DataFra
     return by.withColumn("b", size).groupBy("tensor", "mode").agg(F.sum("b").alias("bytes"), F.count("*").alias("shards"), F.min("b").alias("least"), F.avg("b").alias("mean"), F.max("b").alias("most"))
 
 
+def seen_as(mode: str, normalise: bool = True):
+    """A function of a matrix of row vectors: ``quantized`` of each row under its own scale, normalised after; for passes that hold batches as matrices."""
+    bits = bits_of(mode)
+
+    def view(x: np.ndarray) -> np.ndarray:
+        if mode == "fp16":
+            x = x.astype(np.float16).astype(np.float64)
+        elif bits <= 8:
+            most = 2 ** (bits - 1) - 1
+            s = np.maximum(np.abs(x).max(1, keepdims=True) / most, FLOOR)
+            x = np.clip(np.rint(x / s), -most, most) * s
+        return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], FLOOR) if normalise else x
+
+    return view
+
+
 def affine(v: Column, lo: Column, hi: Column, bits: int) -> Column:
     """Round trip with a scale and zero point of the whole table; a range of zero leaves the vector as it is."""
     most = float(2**bits - 1)

@@ -5,6 +5,8 @@ Arithmetic is in double. Expressions on null vectors give null; a zero vector no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 """Queries a block: what a search sends to every task is at most this many vectors."""
+AT_ONCE = 512
+"""Queries of a block that are multiplied with a batch at once, which bounds a task's matrix of scores."""
 
 
 def doubles(v: Column) -> Column:
@@ -121,13 +125,14 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
                 eid = x.eid.to_numpy()
                 order = np.argsort(eid, kind="stable")
                 eid, v = eid[order], np.stack(x.v.to_numpy()).astype(np.float64)[order]
-                s = np.round(q @ v.T, 9)
-                s[ids[:, None] == eid[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, top, 1)
-                keep = np.isfinite(score)
-                r, c = np.nonzero(keep)
-                yield pd.DataFrame({"qid": ids[r], "eid": eid[top[r, c]], "score": score[r, c]})
+                for at in range(0, len(ids), AT_ONCE):
+                    own = ids[at : at + AT_ONCE]
+                    s = np.round(q[at : at + AT_ONCE] @ v.T, 9)
+                    s[own[:, None] == eid[None, :]] = -np.inf
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    score = np.take_along_axis(s, top, 1)
+                    r, c = np.nonzero(np.isfinite(score))
+                    yield pd.DataFrame({"qid": own[r], "eid": eid[top[r, c]], "score": score[r, c]})
 
         parts.append(base.filter("v is not null").select("eid", "v").mapInPandas(best, "qid long, eid long, score double"))
     found = union(parts, base.sparkSession.createDataFrame([], "qid long, eid long, score double"))
@@ -209,34 +214,44 @@ def best_fused(queries: DataFrame, base: DataFrame) -> DataFrame:
     return top.select("qid", (-F.col("x.col2")).alias("eid"), F.col("x.score").alias("score"))
 
 
-def gold_ranks(queries: DataFrame, base: DataFrame) -> DataFrame:
+def gold_ranks(queries: DataFrame, base: DataFrame, views: dict[str, Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
     """(qid, gold, gold_score, rank, ordinal) without sorting or storing scores: ranks by counting.
 
     ``queries``: qid, v, gold, gold_v; ``base``: eid, v. rank is 1 + the number of base rows with a strictly greater score;
     ordinal counts equal scores of smaller eids too. Rows without gold are left out; the query itself is no candidate.
+    ``views``: functions of a matrix by name; ranks are counted for all vectors as each of them shows them, in one pass over the base, and rows have ``mode``, the name.
     """
+    kinds = views or {"": lambda x: x}
+    kind = "mode string, qid long, gold long, gold_score double, above long, level long"
     parts = []
     for b in blocks(queries.filter("v is not null and gold_v is not null"), ["qid", "v", "gold", "gold_v"]):
         ids, gold = b.qid.to_numpy(), b.gold.to_numpy()
         q, g = (np.stack(b[c].map(np.asarray)).astype(np.float64) for c in ("v", "gold_v"))
-        aim = np.round(np.einsum("ij,ij->i", q, g), 9)
 
-        def count(batches, ids=ids, gold=gold, q=q, aim=aim):
-            above, level = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        def count(batches, ids=ids, gold=gold, q=q, g=g):
+            own = {name: (f(q), np.round(np.einsum("ij,ij->i", f(q), f(g)), 9)) for name, f in kinds.items()}
+            above, level = ({name: np.zeros(len(ids), np.int64) for name in kinds} for _ in range(2))
             for x in batches:
                 if not len(x):
                     continue
-                eid = x.eid.to_numpy()
-                s = np.round(q @ np.stack(x.v.to_numpy()).astype(np.float64).T, 9)
-                other = ids[:, None] != eid[None, :]
-                above += ((s > aim[:, None]) & other).sum(1)
-                level += ((s == aim[:, None]) & other & (eid[None, :] < gold[:, None])).sum(1)
-            yield pd.DataFrame({"qid": ids, "gold": gold, "gold_score": aim, "above": above, "level": level})
-
-        parts.append(base.filter("v is not null").select("eid", "v").mapInPandas(count, "qid long, gold long, gold_score double, above long, level long"))
-    found = union(parts, base.sparkSession.createDataFrame([], "qid long, gold long, gold_score double, above long, level long"))
-    by = found.groupBy("qid", "gold", "gold_score").agg(F.sum("above").alias("above"), F.sum("level").alias("level"))
-    return by.select("qid", "gold", "gold_score", (F.col("above") + 1).alias("rank"), (F.col("above") + F.col("level") + 1).alias("ordinal"))
+                eid, v = x.eid.to_numpy(), np.stack(x.v.to_numpy()).astype(np.float64)
+                seen = {name: f(v).T for name, f in kinds.items()}
+                for at in range(0, len(ids), AT_ONCE):
+                    part = slice(at, at + AT_ONCE)
+                    other = ids[part, None] != eid[None, :]
+                    ahead = other & (eid[None, :] < gold[part, None])
+                    for name, (mine, aim) in own.items():
+                        s = np.round(mine[part] @ seen[name], 9)
+                        above[name][part] += ((s > aim[part, None]) & other).sum(1)
+                        level[name][part] += ((s == aim[part, None]) & ahead).sum(1)
+            for name, (_, aim) in own.items():
+                yield pd.DataFrame({"mode": name, "qid": ids, "gold": gold, "gold_score": aim, "above": above[name], "level": level[name]})
+
+        parts.append(base.filter("v is not null").select("eid", "v").mapInPandas(count, kind))
+    found = union(parts, base.sparkSession.createDataFrame([], kind))
+    keys = ["mode", "qid", "gold", "gold_score"] if views else ["qid", "gold", "gold_score"]
+    by = found.groupBy(*keys).agg(F.sum("above").alias("above"), F.sum("level").alias("level"))
+    return by.select(*keys, (F.col("above") + 1).alias("rank"), (F.col("above") + F.col("level") + 1).alias("ordinal"))
 
 
 def encode(rows: DataFrame, encoder, columns: list[str], schema: str) -> DataFrame:

@@ -63,16 +63,21 @@ def join_by_count(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, t
     )
 
 
-def join_salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with more than 1/HOT_SHARE of the rows, and a thousand at least; fewer than HOT_SHARE, or None without any. ``rows`` should be staged."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.filter(F.col("_n") > max(rows.count() / HOT_SHARE, 1000)).select(*keys, F.lit(True).alias("_hot"))
+    return stage(hot, "hot") if hot.head(1) else None
+
+
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 64, hot: DataFrame | None | bool = False) -> DataFrame:
     """Inner join of two tables that both may have any number of rows of a key.
 
-    Keys with more than 1/HOT_SHARE of ``left``'s rows, fewer than HOT_SHARE, are parted: their rows of ``left`` go to ``salts``
-    tasks by hash and only their rows of ``right`` are sent to each of these. ``left`` is read twice, so it should be staged.
+    Keys that are hot in ``left`` are parted: their rows of ``left`` go to ``salts``
+    tasks by hash and only their rows of ``right`` are sent to each of these. ``hot``: ``hot_keys`` of ``left``, if they are known.
     """
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = left.count()
-    hot = counts.filter(F.col("_n") > max(total / HOT_SHARE, 1000)).select(*keys, F.lit(True).alias("_hot"))
-    if not hot.head(1):
+    hot = hot_keys(left, keys) if hot is False else hot
+    if hot is None:
         return left.join(right, keys)
     own = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
     a = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), own).otherwise(F.lit(0).cast("long"))).drop("_hot")

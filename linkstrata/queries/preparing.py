@@ -178,6 +178,13 @@ def frozen_manifest(spark, d):
     return sanitize.freeze(accepted, {"entities": (table(spark, d, "kb_entity"), "id", "qid"), "areas": (table(spark, d, "subject_area"), "area_no", "subject")})
 
 
+@query(f"with {KB}, f as (select qid, {PATH.replace('\"imgPath\"', 'x')} p from (select distinct qid, unnest(image_list) x from kb)), g as (select distinct qid, p from f where p <> ''), m as (select split, upper(trim(answer)) a, {PATH} p from mentions) select split, count(*) pairs, count(*) filter (where a = qid) gold from m join g using (p) group by split")
+def hash_pair_gold(spark, d):
+    m = mentions(spark, d).select("split", F.upper(F.trim("answer")).alias("a"), text.same_file(F.col("imgPath")).alias("p"))
+    e = kb(spark, d).select("qid", F.explode("image_list").alias("x")).select("qid", text.same_file(F.col("x")).alias("p"))
+    return audit.file_pairs(m, e.distinct(), "split")
+
+
 # Quantisers -------------------------------------------------------------------------------------------------
 
 C = "with e as (select vec_id, label, embedding::double[] v from embeddings) "
@@ -275,6 +282,15 @@ def both_recalls(spark, d):
     return rounded(metrics.both_recalls(ranks(spark, d), tops(spark, d), [1, 10, 50]))
 
 
+@query(CTE + "select qid, gold, rank from r where qid % 300 > 0")
+def stream_rank_batches(spark, d):
+    from linkstrata.streaming.ranks import stream_ranks
+
+    q, base = asked(spark, d)
+    gold_of = q.filter("qid % 300 > 0").select("qid", "gold", "gold_v")
+    return stream_ranks(spark, f"{d}/embeddings.parquet", "vec_id", "embedding", gold_of, base, "vec_id % 100 = 0")[0]
+
+
 @query("select p_partkey, p_size from (select p_partkey, p_size from part order by p_size desc nulls last, p_partkey limit 50)")
 def task_queue(spark, d):
     return runs.prioritised(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", "p_partkey").limit(50)

@@ -153,13 +153,7 @@ MODE_RANKS = _mode_ranks_sql()
 
 def mode_ranks(spark, d, modes=("fp32", "int8", "int4", "int2")):
     q, base = asked(spark, d)
-    parts = []
-    for m in modes:
-        trip = lambda df, c: _round_trip(df.withColumnRenamed(c, "v") if c != "v" else df, m).withColumn(c if c != "v" else "v", vectors.normalized(F.col("q")))  # noqa: E731, B023
-        gold = trip(q.select("qid", F.col("gold_v").alias("v")), "v").select("qid", F.col("v").alias("gold_v"))
-        own = trip(q.select("qid", "gold", "v"), "v").select("qid", "gold", "v").join(gold, "qid")
-        parts.append(vectors.gold_ranks(own, trip(base.select("eid", "v"), "v").select("eid", "v")).withColumn("mode", F.lit(m)))
-    return compare.union_rows(parts)
+    return vectors.gold_ranks(q, base, {m: quantize.seen_as(m) for m in modes})
 
 
 def mode_table(spark, d):

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkstrata.operators.vectors import gold_ranks
 from linkstrata.plans.staging import shared_dir
 
 
@@ -48,6 +49,25 @@ def stream_totals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").groupBy("split").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
 
 
+def stream_ranks(spark: SparkSession, path: str, key: str, vector: str, gold: DataFrame, base: DataFrame, asks: str) -> tuple[DataFrame, DataFrame]:
+    """(ranks, counters): the gold's rank of every query that arrives, batch by batch, and (batch, seen, skipped) of each batch.
+
+    ``gold``: qid, gold, gold_v; ``base``: eid, v; ``asks``: which rows of the stream are queries. A query without gold is
+    skipped and counted. A run that is taken up again does only the batches that are missing.
+    """
+    at = f"{shared_dir(spark)}/ranks-{uuid.uuid4().hex}"
+
+    def work(batch: DataFrame) -> DataFrame:
+        q = batch.select(F.col(key).alias("qid"), F.col(vector).alias("v")).join(gold, "qid", "left")
+        ranked = gold_ranks(q, base).select("qid", "gold", "rank")
+        return q.filter("gold is null").select("qid", "gold", F.lit(None).cast("long").alias("rank")).unionByName(ranked)
+
+    run_batches(_stream(spark, path).filter(asks), f"{at}/out", f"{at}/checkpoint", work)
+    every = spark.read.parquet(f"{at}/out")
+    counters = every.groupBy("batch").agg(F.count("*").alias("seen"), F.count_if(F.col("gold").isNull()).alias("skipped"))
+    return every.filter("gold is not null").select("qid", "gold", "rank"), counters
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str | None = None, late: str = "1 day") -> DataFrame:
     """First row of each key in a stream; with a time column its state is dropped after ``late``, else it grows with the keys."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if time else stream.dropDuplicates(keys)
