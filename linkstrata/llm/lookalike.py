@@ -8,11 +8,12 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from linkstrata.functions.text import md5_key
+from linkstrata.llm.common import expand
 from linkstrata.plans.staging import join_by_count, stage
 
 # Characters without any shape of their own.
@@ -33,19 +34,48 @@ ALIKE = [
     ("s", "ѕ", ""), ("u", "", "υ"), ("v", "ѵ", "ν"), ("w", "ԝ", ""), ("x", "х", "χ"), ("y", "у", "γ"),
 ]
 CLASSES = {x: tuple(y for y in group if y) for group in ALIKE for x in group if x}
+# Code points of alphabets, with a sign for each: Greek, Cyrillic, Armenian, Cherokee, Latin.
+ALPHABETS = [(0x370, 0x400, "G"), (0x400, 0x530, "C"), (0x531, 0x58A, "A"), (0x13A0, 0x1400, "K"), (0x1E00, 0x1F00, "L"), (0x1F00, 0x2000, "G"), (0xAB70, 0xABC0, "K")]
 
 
 @lru_cache(maxsize=None)
 def script(ch: str) -> str:
-    """Latin, Cyrillic, Greek, or '' for what belongs to no alphabet of these."""
+    """The sign of a letter's alphabet, or '' for what belongs to none of ALPHABETS."""
     o = ord(ch)
     if o < 0x250:
         return "L" if ch.isalpha() else ""
-    if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
-        return "G"
-    if 0x400 <= o < 0x530:
-        return "C"
-    return "L" if 0x1E00 <= o < 0x1F00 else ""
+    return next((s for a, b, s in ALPHABETS if a <= o < b), "")
+
+
+def confusable(spark: SparkSession) -> dict[str, tuple[str, ...]]:
+    """Classes of letters that look alike: ALIKE, and letters of ALPHABETS with one skeleton in the Unicode table of confusables.
+
+    The table is the one of the ICU library that comes with Spark. Within ASCII nothing is merged: where several ASCII letters have
+    one skeleton (I and l), other letters join the one of their case. The first letter of a class is the ASCII one, if any.
+    """
+    ascii_ = [c for c in map(chr, range(128)) if c.isalpha()]
+    others = [c for a, b, _ in ALPHABETS for c in map(chr, range(a, b)) if unicodedata.category(c) in ("Lu", "Ll", "Lo") and unicodedata.normalize("NFKD", c) == c]
+    letters = ascii_ + others
+    skeletons = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+    by: dict[str, list[str]] = {}
+    for c, k in zip(letters, skeletons):
+        by.setdefault(k, []).append(c)
+    groups: dict[str, set[str]] = {x: set(CLASSES[x]) for x in CLASSES}
+
+    def merge(cs: list[str]) -> None:
+        whole = set().union(*(groups.get(c, {c}) for c in cs))
+        if sum(c < "\x80" for c in whole) <= 1:
+            for c in whole:
+                groups[c] = whole
+
+    for cs in by.values():
+        plain = [c for c in cs if c < "\x80"]
+        for c in cs if plain else cs[1:]:
+            if c >= "\x80":
+                like = plain if len(plain) == 1 else [p for p in plain if p.isupper() == c.isupper()] if plain else cs[:1]
+                if len(like) == 1:
+                    merge([like[0], c])
+    return {c: tuple(sorted(g)) for c, g in groups.items() if len(g) > 1}
 
 
 @lru_cache(maxsize=65536)
@@ -68,19 +98,16 @@ class Resolver:
     ``counts``: {(script, previous, next): n} over the corpus's one-script tokens, '^' before the first.
     The state of the search is the candidate letter; a step costs -log P(next | previous, script) and
     a change of script ``switch``. The result depends on the classes of the letters alone, so tokens
-    that look the same get the same result. A token that can be read wholly in the corpus's main
-    script is read so.
+    that look the same get the same result. What can be read wholly in Latin letters is read so, without a search, as texts of
+    plain characters never come here and have to get the same form; all other tokens are decided by their scores.
     """
 
-    def __init__(self, counts: dict[tuple[str, str, str], int], switch: float = 12.0):
-        self.counts, self.switch = counts, switch
+    def __init__(self, counts: dict[tuple[str, str, str], int], switch: float = 12.0, classes: dict[str, tuple[str, ...]] = CLASSES):
+        self.counts, self.switch, self.classes = counts, switch, classes
         total: dict[tuple[str, str], int] = {}
-        by: dict[str, int] = {}
         for (s, a, _), n in counts.items():
             total[s, a] = total.get((s, a), 0) + n
-            by[s] = by.get(s, 0) + n
         self.total = total
-        self.main = max(sorted(by), key=lambda s: by[s]) if by else "L"
         self.cache: dict[str, str] = {}
 
     def cost(self, s: str, a: str, b: str) -> float:
@@ -95,10 +122,10 @@ class Resolver:
         return r
 
     def _token(self, t: str) -> str:
-        lattice = [CLASSES.get(ch, (ch,)) for ch in t]
-        main = [next((c for c in cs if script(c) in (self.main, "")), None) for cs in lattice]
-        if None not in main:
-            return "".join(main)
+        lattice = [self.classes.get(ch, (ch,)) for ch in t]
+        latin = [next((c for c in cs if script(c) in ("L", "")), None) for cs in lattice]
+        if None not in latin:
+            return "".join(latin)
         best = {("", "^"): (0.0, "")}
         for cs in lattice:
             step: dict[tuple[str, str], tuple[float, str]] = {}
@@ -128,7 +155,7 @@ def _tokens(text: str) -> list[str]:
 
 
 def bigrams(texts: DataFrame) -> dict[tuple[str, str, str], int]:
-    """Letter pairs by script over all texts; at most (letters of three alphabets)^2 rows reach the driver.
+    """Letter pairs by script over all texts; at most the sum of (letters of an alphabet)^2 rows reaches the driver.
 
     Only words of one script count. Words are counted in the JVM; Python sees batches of pre-aggregated words.
     """
@@ -157,11 +184,11 @@ def one_form(rows: DataFrame, fields: list[str]) -> DataFrame:
     the JVM; the others pass a pandas UDF with the corpus's letter-pair counts.
     """
     odd = rows.select(F.explode(F.array(*fields)).alias("text")).filter(F.col("text").isNotNull())
-    counts = bigrams(odd)
+    counts, classes = bigrams(odd), confusable(rows.sparkSession)
 
     @F.pandas_udf(StringType())
     def resolve(s: pd.Series) -> pd.Series:
-        r = Resolver(counts)
+        r = Resolver(counts, classes=classes)
         return s.map(lambda t: None if t is None else r.text(t))
 
     forms = {}
@@ -192,8 +219,23 @@ def twin_classes(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return join_by_count(slim, several, ["class"], "n", slim.count())
 
 
+def variant_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs of variants (class_a, class_b) of one class, and rows (id, variant). Copies of a variant are one."""
+    c = stage(classes.select("id", "class", F.xxhash64("class", "variant").alias("v"), "variant"), "p6-classes")
+    each = c.select("class", "v", "variant").distinct()
+    a, b = (each.select("class", F.col("v").alias(f"class_{x}"), F.col("variant").alias(f"v_{x}")) for x in "ab")
+    return stage(a.join(b, "class").filter("v_a < v_b").select("class_a", "class_b"), "p6-variants"), c.select("id", "v")
+
+
 def twin_pairs(classes: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows of one class in different variants."""
-    c = stage(classes.select("id", "class", "variant"), "p6-classes")
-    a, b = (c.select(F.col("id").alias(f"id_{x}"), "class", F.col("variant").alias(f"v_{x}")) for x in "ab")
-    return a.join(b, "class").filter("id_a < id_b and v_a <> v_b").select("id_a", "id_b").distinct()
+    pairs, members = variant_pairs(classes)
+    a, b = (members.select(F.col("id").alias(x), F.col("v").alias(f"class_{x}")) for x in "ab")
+    return expand(pairs, a, b).filter("a <> b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def twin_report(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(id, class, variants, records): each row whose class holds several variants, with their number and that of the class's rows."""
+    c = stage(twin_classes(rows, key, fields), "p6-twins")
+    n = c.groupBy("class", "variant").agg(F.count("*").alias("k")).groupBy("class").agg(F.count("*").alias("variants"), F.sum("k").alias("records"))
+    return join_by_count(c.select("id", "class"), n, ["class"], "records", c.count()).select("id", F.lower(F.hex("class")).alias("class"), "variants", "records")
