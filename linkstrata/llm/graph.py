@@ -13,14 +13,20 @@ from linkstrata.plans.staging import join_by_count, small, stage
 
 SHARD = 2000
 MOST_SHARDS = 4096
+"""At most so many centres are fitted at once; cells of more than BIG x SHARD nodes get centres of their own."""
+BIG = 4
 SAMPLE = 12_000
+SUB_SAMPLE = 12
+"""Vectors for each centre of a cell, SAMPLE a cell at most."""
 PROBES = 2
 DEGREE = 24
 BEAM = 40
 WIDTH = 8
 ALPHA = 1.1
 ENTRIES = 256
-KEEP = 6
+ASKERS = 6
+"""A task's share of a cell's queries is at most ASKERS x SHARD on average."""
+LOT = 20_000
 LIST = pa.list_(pa.struct([("far", pa.float64()), ("other", pa.int64())]))
 
 
@@ -177,34 +183,69 @@ class Graph:
         return ids, val, ids
 
 
-def shard_neighbours(base: np.ndarray, asked: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node, cosine) for the KEEP nearest that the shard's graph gives; ``own``: the query's place in base or -1."""
-    graph = Graph(base @ base.T)
-    out = []
-    for at in range(0, len(own), SHARD):  # queries by the shardful, which bounds the matrix of similarities
-        mine = own[at : at + SHARD]
-        if at + len(mine) <= len(base):
-            sims = graph.sims[at : at + len(mine)]
-        else:
-            sims = np.concatenate([graph.sims[at:], asked[max(0, at - len(base)) : at + len(mine) - len(base)] @ base.T])
-        ids, val, _ = graph.search(sims, BEAM)
-        val = np.where(ids == mine[:, None], -np.inf, val)
-        top = np.argsort(-val, axis=1)[:, :KEEP]
-        r = np.arange(len(mine))[:, None]
-        ids, val = ids[r, top], val[r, top]
-        q, c = np.nonzero(np.isfinite(val))
-        out.append((q + at, ids[q, c], val[q, c]))
+def shard_neighbours(base: np.ndarray, asked: np.ndarray, own: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, cosine) for the ``keep`` nearest that the shard's graphs give; ``own``: the query's place in base or -1.
+
+    A shard of more than 2 x SHARD nodes has a graph for every so many, and every query asks each of them.
+    """
+    out, beam = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)], max(BEAM, 4 * keep)
+    for first in range(0, len(base), 2 * SHARD):
+        part = base[first : first + 2 * SHARD]
+        graph = Graph(part @ part.T)
+        for at in range(0, len(own), SHARD):  # queries by the shardful, which bounds the matrix of similarities
+            mine = own[at : at + SHARD] - first
+            inside = (mine >= 0) & (mine < len(part)) & (own[at : at + SHARD] >= 0)
+            sims = np.empty((len(mine), len(part)), np.float32)
+            sims[inside] = graph.sims[mine[inside]]
+            sims[~inside] = asked[at : at + SHARD][~inside] @ part.T
+            ids, val, _ = graph.search(sims, beam)
+            val = np.where((ids == mine[:, None]) & inside[:, None], -np.inf, val)
+            top = np.argsort(-val, axis=1)[:, :keep]
+            r = np.arange(len(mine))[:, None]
+            ids, val = ids[r, top], val[r, top]
+            q, c = np.nonzero(np.isfinite(val))
+            out.append((q + at, ids[q, c].astype(np.int64) + first, val[q, c]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _nearest_of(v: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort(-(v @ centre.T), axis=1, kind="stable")[:, :n]
+
+
+def _lots(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+
+
+SENT = "cell int, sub int, lot int, node long, base boolean, ask boolean, payload binary"
+
+
+def _sent(rows: list[tuple], own: np.ndarray, load: list[bytes]) -> pa.RecordBatch:
+    """Rows (number, cell, sub, lot, base, ask) with id and vector of each number."""
+    return pa.RecordBatch.from_arrays(
+        [
+            *(pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2, 3)), pa.array(own[[r[0] for r in rows]] if rows else [], pa.int64()),
+            *(pa.array([bool(r[k]) for r in rows], pa.bool_()) for k in (4, 5)), pa.array([load[r[0]] for r in rows], pa.binary()),
+        ],
+        names=["cell", "sub", "lot", "node", "base", "ask", "payload"],
+    )
+
+
+def _asking(i: int, lot: int, cell: int, sub: int, lots: int, home: bool) -> list[tuple]:
+    """Where one vector goes in a shard: as a node to every lot of its queries, as a query to one."""
+    q = lot % lots
+    return [(i, cell, sub, x, True, x == q) for x in range(lots)] if home else [(i, cell, sub, q, False, True)]
+
+
 def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
     """(id, other, sim): for each usable vector its k nearest by cosine, in double and rounded to 9 decimals.
 
     Vectors that are null, all zero, not finite or of another length than most take no part. Ties go to the
     smaller id. Equal directions are one node of the graph; a node's rows are represented by their k + 1 smallest
     ids, which is all that can enter a result, so copies of any number cost one row.
-    Shards are cells around centres fitted on at most SAMPLE vectors; a cell with more than 2 x SHARD rows is
-    parted at random. Each vector is a node of its nearest cell's graph and asks the PROBES nearest cells.
+    Shards are cells around centres fitted on at most SAMPLE vectors. A cell with more than BIG x SHARD nodes has centres of
+    its own, fitted where the cell is, so centres form a tree and no vector is sent more than 2 x PROBES times, however many there
+    are. Each vector is a node of its nearest cell's graph and asks the PROBES nearest cells; a cell that very many ask
+    takes their queries in lots of ASKERS x SHARD, each with its nodes.
     """
     spark = rows.sparkSession
     data = rows.select(F.col(key).alias("id"), F.col(field).alias("v")).filter("id is not null and v is not null")
@@ -213,7 +254,8 @@ def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "id bigint, other bigint, sim double")
     dim, total = dims.d, dims.n
     share = min(1.0, 1.3 * SAMPLE / total)
-    picked = data.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE).select("v").toArrow()
+    by = F.xxhash64("id")
+    picked = data.filter(F.pmod(by, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(by, "id").limit(SAMPLE).select("v").toArrow()
     at, sample = _matrix(picked.column("v"), dim)
     if not len(at):
         return spark.createDataFrame([], "id bigint, other bigint, sim double")
@@ -222,56 +264,56 @@ def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
     probes = min(PROBES, cells)
 
     def place(v: np.ndarray) -> np.ndarray:
-        return np.argsort(-(unit(v).astype(np.float32) @ centre.T), axis=1, kind="stable")[:, :probes]
+        return _nearest_of(unit(v).astype(np.float32), centre, probes)
 
     def describe(batches):
         for b in batches:
             at, v = _matrix(b.column("v"), dim)
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in unit(v)]
-            cell = place(v)[:, 0] if len(at) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(digest, pa.binary()), pa.array(cell, pa.int32())], names=["id", "digest", "cell"])
+            cells_of = place(v).tolist() if len(at) else []
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(digest, pa.binary()), pa.array(cells_of, pa.list_(pa.int32()))], names=["id", "digest", "cells"])
 
-    # Which rows are copies, and how many nodes each cell has; the vectors are read again for sending, which is less than to keep them.
-    ids = stage(data.mapInArrow(describe, "id long, digest binary, cell int"), "p4-ids")
-    groups = ids.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("cell").alias("cell"))
+    # Which rows are copies, and how many nodes and queries each cell has; the vectors are read again for sending, which is less than to keep them.
+    ids = stage(data.mapInArrow(describe, "id long, digest binary, cells array<int>"), "p4-ids")
+    groups = ids.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("cells").alias("cells"))
     groups = stage(groups, "p4-groups")
-    sizes = dict(groups.groupBy("cell").count().collect())
-    parts = np.array([max(1, -(-sizes.get(c, 0) // (2 * SHARD))) for c in range(cells)])
+    asks = {(r.cell, r.pos): r["count"] for r in groups.select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell", "pos").count().collect()}  # by cell, PROBES x MOST_SHARDS at most
+    sizes = np.array([asks.get((c, 0), 0) for c in range(cells)])
+    queries = np.array([sum(asks.get((c, r), 0) for r in range(probes)) for c in range(cells)])
+    big = sizes > BIG * SHARD
+    lots = np.where(big, -(-queries // LOT), np.maximum(1, -(-queries // (ASKERS * SHARD))))
     nodes = join_by_count(ids, groups.select("digest", "node", "n"), ["digest"], "n", total).select("id", "node", "n")
     nodes = stage(nodes, "p4-nodes")
     dropped = stage(nodes.filter("id <> node").select("id"), "p4-dropped")
     single = data.join(small(dropped), "id", "left_anti") if dropped.head(1) else data
 
-    def send(batches):
+    def send(batches, want_big=False):
         for b in batches:
             at, v = _matrix(b.column("v"), dim)
             if not len(at):
                 continue
             near, load = place(v), pack(v)
             own = b.column("id").take(pa.array(at)).to_numpy()
-            lot = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            rows = [(int(c), p, i, r == 0 and p == int(lot[i]) % parts[c]) for i, cs in enumerate(near) for r, c in enumerate(cs) for p in range(parts[c])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c * 65536 + p for c, p, _, _ in rows], pa.int64()),
-                    pa.array(own[[i for _, _, i, _ in rows]], pa.int64()),
-                    pa.array([bool(x) for _, _, _, x in rows], pa.bool_()),
-                    pa.array([load[i] for _, _, i, _ in rows], pa.binary()),
-                ],
-                names=["shard", "node", "base", "payload"],
-            )
+            lot = _lots(own).tolist()
+            rows = []
+            for i, cs in enumerate(near.tolist()):
+                for r, c in enumerate(cs):
+                    if big[c] == want_big:
+                        rows += [(i, c, -1, lot[i] % lots[c], r == 0, True)] if want_big else _asking(i, lot[i], c, 0, int(lots[c]), r == 0)
+            yield _sent(rows, own, load)
 
     def search(table: pa.Table) -> pa.Table:
-        node, base = table.column("node").to_numpy(), table.column("base").to_numpy()
+        node, base, ask = (table.column(c).to_numpy() for c in ("node", "base", "ask"))
         order = np.lexsort((node, ~base))
-        node, base = node[order], base[order]
-        n = int(base.sum())
+        node, base, ask = node[order], base[order], ask[order]
+        n, q_at = int(base.sum()), np.flatnonzero(ask)
+        if not n or not len(q_at):
+            return pa.table({"node": pa.array([], pa.int64()), "list": pa.array([], LIST)})
         raw = table.column("payload").combine_chunks()
         v = unit(unpack([raw[int(i)].as_py() for i in order]))
         f = v.astype(np.float32)
-        if not n:
-            return pa.table({"node": pa.array([], pa.int64()), "list": pa.array([], LIST)})
-        q, c, _ = shard_neighbours(f[:n], f[n:], np.concatenate([np.arange(n), np.full(len(node) - n, -1)]))
+        q, c, _ = shard_neighbours(f[:n], f if len(q_at) == len(f) else f[q_at], np.where(q_at < n, q_at, -1), k + 1)
+        q = q_at[q]
         exact = np.concatenate([np.einsum("ij,ij->i", v[q[i : i + 4096]], v[c[i : i + 4096]]) for i in range(0, len(q), 4096)] or [np.zeros(0)])
         # What x finds of y is as true of y.
         src, dst, far = np.concatenate([q, c]), np.concatenate([c, q]), np.tile(-np.round(exact, 9), 2)
@@ -288,8 +330,45 @@ def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
         offsets = pa.array(np.concatenate([first, [len(src)]]).astype(np.int32))
         return pa.table({"node": pa.array(node[src[first]]), "list": pa.ListArray.from_arrays(offsets, items, type=LIST)})
 
-    sent = single.mapInArrow(send, "shard long, node long, base boolean, payload binary")
-    near = sent.groupBy("shard").applyInArrow(search, "node long, list array<struct<far: double, other: long>>")
+    sent = single.mapInArrow(send, SENT)
+    if big.any():
+        share_of = np.minimum(SUB_SAMPLE / SHARD, SAMPLE / np.maximum(sizes, 1))
+
+        def pick(batches):
+            for b in batches:
+                at, v = _matrix(b.column("v"), dim)
+                own = b.column("id").take(pa.array(at)).to_numpy()
+                home = place(v)[:, 0] if len(at) else np.zeros(0, np.int64)
+                use = np.flatnonzero(big[home] & (_lots(own) % np.uint64(1_000_003) < share_of[home] * 1_000_003))
+                yield pa.RecordBatch.from_arrays([pa.array(home[use], pa.int32()), pa.array(pack(v[use]), pa.binary())], names=["cell", "payload"])
+
+        def fit(table: pa.Table) -> pa.Table:
+            c = table.column("cell")[0].as_py()
+            own = unit(unpack(sorted(table.column("payload").to_pylist())[: 2 * SAMPLE])).astype(np.float32)
+            n = int(min(MOST_SHARDS, max(1, -(-sizes[c] // SHARD)), len(own)))
+            return pa.table({"cell": pa.array([c], pa.int32()), "centres": pa.array([centroids(own, n).tobytes()], pa.binary())})
+
+        def split(left: pa.Table, right: pa.Table) -> pa.Table:
+            c = left.column("cell")[0].as_py()
+            own_centres = np.frombuffer(right.column("centres")[0].as_py(), np.float32).reshape(-1, dim)
+            many = right.column("many")[0].as_py()
+            load, own, home = left.column("payload").to_pylist(), left.column("node").to_numpy(), left.column("base").to_pylist()
+            near, lot = _nearest_of(unit(unpack(load)).astype(np.float32), own_centres, PROBES).tolist(), _lots(own).tolist()
+            rows = [x for i, cs in enumerate(near) for r, s in enumerate(cs) for x in _asking(i, lot[i], c, s, many[s] if many else 1, home[i] and r == 0)]
+            return pa.Table.from_batches([_sent(rows, own, load if many else [b""] * len(load))])
+
+        sub = single.mapInArrow(pick, "cell int, payload binary").groupBy("cell").applyInArrow(fit, "cell int, centres binary")
+        of = F.create_map(*(x for c in np.flatnonzero(big) for x in (F.lit(int(c)), F.lit(int(lots[c])))))
+        none = F.lit(None).cast("array<int>")
+        sub = stage(sub.withColumn("lot", F.explode(F.sequence(F.lit(0), of[F.col("cell")] - 1))).withColumn("many", none), "p4-centres")
+        far = single.mapInArrow(lambda batches: send(batches, True), SENT).groupBy("cell", "lot")
+        # How many ask each of these cells' own cells is counted first, then their queries are sent in lots.
+        n = far.cogroup(sub.groupBy("cell", "lot")).applyInArrow(split, SENT).groupBy("cell", "sub").agg(F.count("*").alias("n"))
+        n = n.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("sub", F.ceil(F.col("n") / (ASKERS * SHARD)).cast("int").alias("n")))).alias("n"))
+        every = F.transform(F.sequence(F.lit(0), (F.length("centres") / (4 * dim) - 1).cast("int")), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(1)))
+        sub = stage(sub.join(n, "cell").withColumn("many", every).drop("n"), "p4-centres")
+        sent = sent.unionByName(far.cogroup(sub.groupBy("cell", "lot")).applyInArrow(split, SENT))
+    near = sent.groupBy("cell", "sub", "lot").applyInArrow(search, "node long, list array<struct<far: double, other: long>>")
     # k + 1 nodes are enough, also where similarities tie: a node's smallest id stands for it, and what is left out has larger ones.
     merge = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
     near = near.groupBy("node").agg(merge(F.flatten(F.collect_list("list"))).alias("list"))  # a list a cell it asked
