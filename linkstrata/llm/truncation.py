@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import random
 import re
 
@@ -11,14 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstrata.llm.linear import Rows, score, slot, train
+from linkstrata.plans.staging import stage
 
-SAMPLE = 60_000
-"""At most so many rows train the model."""
+SAMPLE = 24_000
+"""At most so many different texts train the model."""
 MOST_CHARS = 20_000
-"""Longer texts don't train; they are scored like all others."""
+"""Of longer texts the closing so many characters train; they are scored whole."""
 KNOWN_SHARE = 5e-4
 """A word in at least this share of the texts is known: at most a text's mean number of words / KNOWN_SHARE words."""
-LIMIT_SHARE = 0.01
+LIMIT_SHARE, SPIKE, AROUND = 0.01, 4, 8
+"""A length is a source's limit if more than LIMIT_SHARE of its texts have it, SPIKE times as many as have lengths up to AROUND off, on average."""
 ROUNDS = 3
 CUT_WEIGHT = 0.25
 """Weight of a cut against a whole text, as each whole text gives up to three cuts."""
@@ -39,36 +43,62 @@ def _shape(w: str) -> str:
     return ("A" if w[0].isupper() else "a") + ("a" if w[1:].islower() else "?")
 
 
-def closing(text: str, source: str | None, known: dict[str, int] | set[str], limits: set[tuple]) -> list[int]:
-    """Hashed features of how a text closes; ``known``: frequent words; ``limits``: (source, unit, length) that many texts have."""
+BREAK = re.compile(r"[.!?]\s+(?=\S)")
+ESCAPE = re.compile(r"&#?\w*$")
+LAST_KEY = re.compile(r"(?:^|; )[^:;]+: [^:;]+$")
+
+
+def _to_limit(source: str | None, text: str, limits: dict[tuple, list[int]]) -> str:
+    """How far below the next limit of its source a text ends, in characters or bytes: 0, up to 2, 8 or 24, or '-'."""
+    if not limits:
+        return "-"
+    best = 25
+    for unit in "cb":
+        if own := limits.get((source, unit)):
+            n = len(text) if unit == "c" or text.isascii() else len(text.encode())
+            i = bisect.bisect_left(own, n)
+            best = min(best, own[i] - n) if i < len(own) else best
+    return "0" if best == 0 else "2" if best <= 2 else "8" if best <= 8 else "24" if best <= 24 else "-"
+
+
+def beginnings(known: dict[str, int]) -> set[str]:
+    """What frequent words begin with, themselves left out."""
+    return {w[:i] for w in known for i in range(1, len(w))}
+
+
+def closing(text: str, source: str | None, known: dict[str, int] | set[str], limits: dict[tuple, list[int]], begun: set[str]) -> list[int]:
+    """Hashed features of how a text closes; ``known``: frequent words; ``limits``: (source, unit) -> lengths that many texts have; ``begun``: ``beginnings``."""
     t = text.rstrip()
-    words = WORD.findall(t[-240:])
+    tail = t[-420:]
+    words = WORD.findall(tail[-240:])
     w = ["^"] * 4 + words
-    kind = lambda x: (x.lower() if x.lower() in known or not x[:1].isalnum() else f"?{_shape(x)}")
-    a, b, c, d = (kind(x) for x in (w[-1], w[-2], w[-3], w[-4]))
+    a, b, c, d = (x.lower() if x.lower() in known or not x[:1].isalnum() else f"?{_shape(x)}" for x in (w[-1], w[-2], w[-3], w[-4]))
     whole = len(words) and words[-1].lower() in known
-    body = re.split(r"(?<=[.!?])\s+(?=\S)", t)[-1]
     keys = t.count(": ")
-    style = ("list" if keys and t.count(";") + 1 >= keys >= 1 and not re.search(r"\. ", t) else "many" if len(body) < len(t) else "one") + ("A" if t[:1].isupper() else "a")
-    long = len(WORD.findall(body[-400:]))
-    length = f"{min(long, 24) // 4}"
-    at_limit = (source, "c", len(text)) in limits or (source, "b", len(text.encode())) in limits
-    quotes = t.count('"') % 2, t.count("(") > t.count(")"), t.rfind("<") > t.rfind(">"), bool(re.search(r"&#?\w*$", t)), len(re.findall(r"<b>", t)) > len(re.findall(r"</b>", t))
-    end = _shape(w[-1])
-    verb = any(x.lower() in known and x.lower() in ("is", "was", "has", "had", "were", "are", "keeps", "came", "said", "called") for x in words)
+    ends = [m.end() for m in BREAK.finditer(tail)]
+    many = bool(ends) or BREAK.search(t) is not None
+    style = ("list" if keys and t.count(";") + 1 >= keys and ". " not in t else "many" if many else "one") + ("A" if t[:1].isupper() else "a")
+    length = f"{min(len(WORD.findall(tail[ends[-1] if ends else 20:])), 24) // 4}"
+    limit = _to_limit(source, text, limits)
+    part = not whole and len(words) > 0 and words[-1].lower() in begun
+    quotes = t.count('"') % 2, t.count("(") > t.count(")"), t.rfind("<") > t.rfind(">"), bool(ESCAPE.search(tail)), t.count("<b>") > t.count("</b>")
+    end, before, third = _shape(w[-1]), _shape(w[-2]), _shape(w[-3])
     f = [
         f"end {end}", f"a {a}", f"b {b}", f"ab {a} {b}", f"abc {a} {b} {c}", f"bc {b} {c}", f"abcd {a} {b} {c} {d}",
-        f"shapes {end} {_shape(w[-2])} {_shape(w[-3])}", f"known {whole} {end} {_shape(w[-2])}", f"style {style} {end}",
+        f"shapes {end} {before} {third}", f"known {whole} {end} {before}", f"style {style} {end}",
         f"style {style} {a}", f"style {style} {length} {end}", f"source {source} {end}", f"source {source} {style} {end}",
-        f"source {source} {a} {b}", f"limit {at_limit}", f"limit {at_limit} {end}", f"open {quotes}", f"open {quotes} {end}",
-        f"marked {bool(MARKED.search(t))}", f"verb {verb} {end}", f"source {source} {a} {kind(w[-2])} {kind(w[-3])}",
-        f"last {len(w[-1])} {end} {whole}", f"keyed {style} {bool(re.search(r'(?:^|; )[^:;]+: [^:;]+$', t))} {end}", "bias",
+        f"source {source} {a} {b}", f"limit {limit}", f"limit {limit} {end}", f"open {quotes}", f"open {quotes} {end}",
+        f"marked {bool(MARKED.search(tail))}", f"source {source} {a} {b} {c}", f"part {part} {end}", f"part {part} {style} {before}",
+        f"last {len(w[-1])} {end} {whole}", f"keyed {style} {bool(LAST_KEY.search(tail))} {end}", "bias",
     ]
     return [slot(x) for x in f]
 
 
-def cuts(text: str, rng: random.Random, lengths: list[int]) -> list[str]:
-    """Artificial positives: ``text`` cut anywhere or at a limit, after a word, and after an initial, at times marked."""
+def cuts(text: str, rng: random.Random, lengths: list[int], sizes: list[int] = []) -> list[str]:  # noqa: B006
+    """Artificial positives: ``text`` cut anywhere or at a limit, after a word, and after an initial, at times marked, and amid a character's bytes.
+
+    ``lengths``: the source's limits in characters, ``sizes``: in bytes.
+    """
     t = text.rstrip()
     ways = [
         lambda: rng.choice(lengths) if lengths and rng.random() < 0.4 else rng.randrange(max(2, len(t) // 4), max(3, len(t))),
@@ -82,6 +112,11 @@ def cuts(text: str, rng: random.Random, lengths: list[int]) -> list[str]:
             if 8 <= len(left) < len(t) - 1 and (not CLOSED.search(left.rstrip()) or re.search(r"\b[A-Z]\.$", left)):
                 out.append(left + (rng.choice(MARKERS) if rng.random() < 0.2 else ""))
                 break
+    if not t.isascii():
+        raw = t.encode()
+        at = [i for i in range(8, len(raw)) if raw[i] & 0xC0 == 0x80] if len(raw) <= MOST_CHARS else []
+        if at:
+            out.append(raw[: rng.choice([i for i in at if i in sizes] or at)].decode(errors="replace"))
     return out
 
 
@@ -99,11 +134,23 @@ INITIAL = re.compile(r"[A-Z][\w'’-]+ [A-Z]\.$")
 RARE_END = 0.1
 
 
-def _seeds(rows: list[tuple[str, str | None]], ends: dict[str, float]) -> list[tuple[str, str | None]]:
+def fragments(known: dict[str, int], ends: dict[str, float]) -> set[str]:
+    """Frequent words that are mostly the last of their text and with which a word of at least their frequency begins: cut words, it may be."""
+    order, out = sorted(known), set()
+    for i, w in enumerate(order):
+        if ends.get(w, 0.0) > 0.5 and len(w) > 1:
+            longer = itertools.takewhile(lambda x, w=w: x.startswith(w), itertools.islice(order, i + 1, None))
+            if any(known[x] >= known[w] for x in longer):
+                out.add(w)
+    return out
+
+
+def _seeds(rows: list[tuple[str, str | None]], ends: dict[str, float], broken: set[str], begun: set[str]) -> list[tuple[str, str | None]]:
     """Where training begins: rows that look whole and close as most rows of their source and style do.
 
     The stop after an initial that follows a name is no close, and a bare last word must be one that ends texts often enough
-    (``ends``: in which share of the texts that have it a frequent word is the last).
+    (``ends``: in which share of the texts that have it a frequent word is the last), none of ``broken``
+    and no rare word with which a frequent one begins (``begun``).
 
     Where most of a source's values of a style end in a full stop, the others are left out; where most do not,
     a full stop is no sign, and all stay.
@@ -116,10 +163,10 @@ def _seeds(rows: list[tuple[str, str | None]], ends: dict[str, float]) -> list[t
         closed = [x for x in group if CLOSED.search(x[0].rstrip())]
         out += closed if 2 * len(closed) > len(group) else group
 
-
     def fair(t: str) -> bool:
         t = t.rstrip()
-        return _looks_whole(t) and not INITIAL.search(t) and ends.get(re.split(r"\s", t)[-1].lower(), 1.0) >= RARE_END
+        last = re.split(r"\s", t[-400:])[-1].lower()
+        return _looks_whole(t) and not INITIAL.search(t) and ends.get(last, 1.0) >= RARE_END and last not in broken and (last in ends or last not in begun)
 
     return [x for x in out if fair(x[0])]
 
@@ -133,17 +180,17 @@ def _looks_whole(text: str) -> bool:
 class Model:
     """Weights, frequent words and limits; scores texts."""
 
-    def __init__(self, weights: np.ndarray, known: dict[str, int] | set[str], limits: set[tuple]):
-        self.weights, self.known, self.limits = weights, known, limits
+    def __init__(self, weights: np.ndarray, known: dict[str, int] | set[str], limits: dict[tuple, list[int]]):
+        self.weights, self.known, self.limits, self.begun = weights, known, limits, beginnings(known)
 
     def odds(self, texts: list[str], sources: list) -> np.ndarray:
-        return score(self.weights, Rows([closing(t, s, self.known, self.limits) for t, s in zip(texts, sources)]))
+        return score(self.weights, Rows([closing(t, s, self.known, self.limits, self.begun) for t, s in zip(texts, sources)]))
 
 
 def fit(rows: DataFrame, text: str, source: str) -> Model | None:
     """The model of a table's closings; None where no text is long enough to be cut.
 
-    Frequent words and lengths are counted over all rows; at most SAMPLE rows, picked by hash, train. Texts that
+    Frequent words and lengths are counted over all rows; at most SAMPLE different texts, the first by hash, train. Texts that
     look whole are negatives, cuts of them positives. After each round, texts that the model finds cut leave
     the negatives, so that texts cut already do less and less harm.
     """
@@ -159,24 +206,29 @@ def fit(rows: DataFrame, text: str, source: str) -> Model | None:
     ends = {w: ends.get(w, 0.0) for w in known}
     units = texts.select("s", F.explode(F.array(F.struct(F.lit("c").alias("u"), F.length("t").alias("n")), F.struct(F.lit("b").alias("u"), F.octet_length("t").alias("n")))).alias("x"))
     sizes = units.groupBy("s", "x.u", "x.n").agg(F.count("*").alias("k"))
-    of = texts.groupBy("s").agg(F.count("*").alias("all"), F.max(F.length("t")).alias("top"))
-    limits = {
-        (r.s, r.u, r.n)
-        for r in sizes.alias("a").join(of.alias("b"), F.expr("a.s <=> b.s")).filter((F.col("k") >= 5) & (F.col("k") > LIMIT_SHARE * F.col("all")) & (F.col("n") >= 0.85 * F.col("top"))).select("a.s", "u", "n").collect()
-    }  # fewer than 1 / LIMIT_SHARE lengths a source and unit
+    of = texts.groupBy("s").agg(F.count("*").alias("all"))
+    sizes = stage(sizes, "p1-sizes")
+    often = sizes.alias("a").join(of.alias("b"), F.expr("a.s <=> b.s")).filter((F.col("k") >= 5) & (F.col("k") > LIMIT_SHARE * F.col("all")))
+    often = often.select("a.s", "u", "n", "k", F.explode(F.sequence(F.col("n") - AROUND, F.col("n") + AROUND)).alias("m"))  # fewer than 1 / LIMIT_SHARE lengths a source and unit
+    near = often.alias("a").join(sizes.alias("b"), F.expr("a.s <=> b.s and a.u = b.u and a.m = b.n")).groupBy("a.s", "a.u", "a.n", "a.k").agg(F.sum("b.k").alias("all"))
+    limits: dict[tuple, list[int]] = {}
+    for r in near.filter(F.col("k") >= SPIKE * (F.col("all") - F.col("k")) / (2 * AROUND)).orderBy("s", "u", "n").collect():
+        limits.setdefault((r.s, r.u), []).append(r.n)
     share = min(1.0, 1.2 * SAMPLE / total)
-    sample = texts.filter(F.length("t") <= MOST_CHARS).filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE).toPandas()
-    sample = sample.sort_values(["t", "s"], kind="stable")
+    closings = texts.select(F.expr(f"right(t, {MOST_CHARS})").alias("t"), "s")
+    by = F.xxhash64("t", "s")
+    some = closings.filter(F.pmod(by, F.lit(1_000_000)) < int(share * 1_000_000) + 1).distinct()
+    sample = some.orderBy(by, "t", "s").limit(SAMPLE).toPandas().sort_values(["t", "s"], kind="stable")
     whole = [(t, None if pd.isna(s) else s) for t, s in zip(sample.t, sample.s) if len(t.strip()) >= 12]
-    whole = _seeds(whole, ends)
-    lengths = sorted({n for _, u, n in limits if u == "c"})
+    begun = beginnings(known)
+    whole = _seeds(whole, ends, fragments(known, ends), begun)
     rng = random.Random(5)
     rows_ = [(t, s, i, 0.0) for i, (t, s) in enumerate(whole)]
-    rows_ += [(x, s, i, 1.0) for i, (t, s) in enumerate(whole) for x in cuts(t, rng, lengths)]
+    rows_ += [(x, s, i, 1.0) for i, (t, s) in enumerate(whole) for x in cuts(t, rng, limits.get((s, "c"), []), limits.get((s, "b"), []))]
     owner, y = np.array([r[2] for r in rows_], np.int64), np.array([r[3] for r in rows_])
     if not y.any():
         return None
-    x = Rows([closing(t, s, known, limits) for t, s, _, _ in rows_])
+    x = Rows([closing(t, s, known, limits, begun) for t, s, _, _ in rows_])
     kept, weights = np.ones(len(whole), bool), None
     for _ in range(ROUNDS):
         if weights is not None:
