@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ HOT_SHARE = 1000
 
 
 STAGED: list[str] = []
-"""Tables written by this driver, for ``release``."""
+"""Tables written by this driver, for ``release``, which also runs at the driver's end."""
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +37,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not STAGED:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit)
     STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at_exit() -> None:
+    """What is staged goes with the driver, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
+            release(spark)
+    except Exception:  # noqa: BLE001, S110
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables staged so far. Only for when no result that reads them is still to be computed."""
     while STAGED:
