@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from linkstrata.plans.staging import small, stage
 
 MARKUP = re.compile(r"\[\[(?:File|Image|Category)\s*:[^\]]*\]\]|<[^<>]{0,500}>|\{\{[^{}]*\}\}|\bhttps?://\S+", re.I)
+MOST_BITS = 28
+"""A filter has at most 2 ** MOST_BITS bits, 32 MB, whatever it is of."""
+CHUNK = 1 << 16
 PART = 20_000
 """Rows of a class that meet another class at once."""
 
@@ -47,6 +50,53 @@ def coded(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own[flat], np.repeat(np.arange(len(lists)), n), n
 
 
+def hashed(texts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of an array of strings, the same in every process."""
+    return pd.util.hash_array(texts, categorize=False)
+
+
+class Filter:
+    """A Bloom filter of 64-bit hashes with two probes."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+
+    @staticmethod
+    def places(h: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return h & mask, (h >> np.uint64(32)) & mask
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        yes = np.ones(len(h), bool)
+        for at in self.places(h, self.mask):
+            yes &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return yes
+
+
+def filter_of(rows: DataFrame, column: str, n: int) -> Filter:
+    """The filter of a staged column of some n values, 64-bit hashes or texts: parts of it are made by partition and united; the driver gets 2 ** MOST_BITS bits at most."""
+    bits = 1 << min(MOST_BITS, max(20, int(16 * n).bit_length()))
+    mask = np.uint64(bits - 1)
+
+    def parts(batches):
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = b[column].to_numpy()
+            at = np.unique(np.concatenate(Filter.places(hashed(x) if x.dtype == object else x.view(np.uint64), mask))).astype(np.int64)
+            for c in np.unique(at // CHUNK):
+                own.setdefault(int(c), np.zeros(CHUNK, bool))[at[at // CHUNK == c] % CHUNK] = True
+        yield pd.DataFrame({"chunk": list(own), "bits": [np.packbits(x, bitorder="little").tobytes() for x in own.values()]})
+
+    def unite(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in g.bits])
+        return pd.DataFrame({"chunk": g.chunk[:1], "bits": [x.tobytes()]})
+
+    kind = "chunk int, bits binary"
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in rows.select(column).mapInPandas(parts, kind).groupBy("chunk").applyInPandas(unite, kind).collect():
+        whole[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    return Filter(whole)
+
+
 def in_chunks(sizes: list[int], most: int):
     """Slices of consecutive items whose sizes sum to at most ``most``; a larger item is alone."""
     start, total = 0, 0

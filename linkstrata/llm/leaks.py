@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkstrata.llm.common import MARKUP, coded, in_chunks
+from linkstrata.llm.common import MARKUP, Filter, coded, filter_of, in_chunks
 from linkstrata.plans.staging import join_salted, small, stage
 
 # Which of a window's word positions a seed reads ('1') and which it ignores ('0').
@@ -20,9 +20,6 @@ SHORT = 9
 """Items whose half has fewer words are sought by runs of up to three words."""
 SHARE = 0.5
 REPLACED = 7
-MOST_BITS = 28
-"""The filter of the items' seeds has at most 2 ** MOST_BITS bits, 32 MB, whatever the items."""
-CHUNK = 1 << 16
 CHARS = 2_000_000
 """Characters of texts that are hashed at once (one text is never parted)."""
 SENT_BYTES, SEEDS_SENT = 16_000_000, 500_000
@@ -108,23 +105,6 @@ def cover(parts: list[bytes], codes: list[bytes], lo: np.ndarray, n: np.ndarray)
     return out
 
 
-class Filter:
-    """A Bloom filter of 64-bit hashes with two probes."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
-
-    @staticmethod
-    def places(h: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        return h & mask, (h >> np.uint64(32)) & mask
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        yes = np.ones(len(h), bool)
-        for at in self.places(h, self.mask):
-            yes &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return yes
-
-
 def hits(texts: list[str], masks: list[int] | None, known: Filter | None) -> tuple[np.ndarray, dict]:
     """(numbers of the texts with seeds, their words' codes and seeds); ``masks`` None: those of each text's own length; ``known``: seeds to keep."""
     code, owner, n = coded([words(t) for t in texts])
@@ -149,35 +129,11 @@ def hits(texts: list[str], masks: list[int] | None, known: Filter | None) -> tup
     }
 
 
-def _filter_of(seeds_: DataFrame, n: int) -> Filter:
-    """The filter of staged seeds ``h``: parts of it are made by partition and united; the driver gets 2 ** MOST_BITS bits at most."""
-    bits = 1 << min(MOST_BITS, max(20, int(16 * n).bit_length()))
-    mask = np.uint64(bits - 1)
-
-    def parts(batches):
-        own: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = np.unique(np.concatenate(Filter.places(b.h.to_numpy().view(np.uint64), mask))).astype(np.int64)
-            for c in np.unique(at // CHUNK):
-                own.setdefault(int(c), np.zeros(CHUNK, bool))[at[at // CHUNK == c] % CHUNK] = True
-        yield pd.DataFrame({"chunk": list(own), "bits": [np.packbits(x, bitorder="little").tobytes() for x in own.values()]})
-
-    def unite(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in g.bits])
-        return pd.DataFrame({"chunk": g.chunk[:1], "bits": [x.tobytes()]})
-
-    kind = "chunk int, bits binary"
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in seeds_.select("h").mapInPandas(parts, kind).groupBy("chunk").applyInPandas(unite, kind).collect():
-        whole[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
-    return Filter(whole)
-
-
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold an item, or half of its words in one stretch, one in seven replaced at most.
 
     Documents are read and hashed once, whatever the number of items: of the seeds of a document's windows those that pass a
-    filter of the items' seeds (2 ** MOST_BITS bits at most) are joined with the items' by hash, seeds that stand in very many
+    filter of the items' seeds (``common.filter_of``, 32 MB at most) are joined with the items' by hash, seeds that stand in very many
     documents parted. Around each hit the aligned words decide, on the whole text. However
     the replaced words of a stretch lie, one of the masks reads only words that agree (the tests try all ways for
     stretches of 9 to 34 words); items with a half of fewer than SHORT words are sought by runs of up to three words. Null and
@@ -201,7 +157,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     if not size.h:
         return empty
     masks = sorted({m for n in ([2 * SHORT] if size.long else []) + [2 * int(x) for x in size.short] for m in masks_of(n)})
-    sent = documents.sparkSession.sparkContext.broadcast(_filter_of(sought, size.h))
+    sent = documents.sparkSession.sparkContext.broadcast(filter_of(sought, "h", size.h))
 
     def look(batches):
         known = sent.value
