@@ -14,12 +14,12 @@ def slot(feature: str, bits: int = BITS) -> int:
 
 
 class Rows:
-    """Sparse 0/1 rows: slots of all rows one after the other, and where each row starts."""
+    """Sparse 0/1 rows: slots of all rows one after the other, and where each row starts. Every row has a slot at least."""
 
-    def __init__(self, rows: list[list[int]]):
-        self.n = np.array([len(r) for r in rows], np.int64)
+    def __init__(self, rows: list[list[int]] | None = None, slots: np.ndarray | None = None, n: np.ndarray | None = None):
+        self.n = np.array([len(r) for r in rows], np.int64) if n is None else n
         self.start = np.concatenate([[0], np.cumsum(self.n)])
-        self.slots = np.fromiter((x for r in rows for x in r), np.int64, self.start[-1])
+        self.slots = np.fromiter((x for r in rows for x in r), np.int64, self.start[-1]) if slots is None else slots
 
     def __len__(self) -> int:
         return len(self.n)
@@ -34,28 +34,38 @@ class Rows:
 
 def score(weights: np.ndarray, rows: Rows) -> np.ndarray:
     """Log-odds of each row; ``weights`` is (slots,) or (slots, classes)."""
-    row = np.repeat(np.arange(len(rows)), rows.n)
-    if weights.ndim == 1:
-        return np.bincount(row, weights[rows.slots], len(rows))
-    return np.stack([np.bincount(row, weights[rows.slots, c], len(rows)) for c in range(weights.shape[1])], 1)
+    if not len(rows):
+        return np.zeros((0, *weights.shape[1:]))
+    out = np.empty((len(rows), *weights.shape[1:]))
+    for a in range(0, len(rows), 20_000):
+        b = min(a + 20_000, len(rows))
+        out[a:b] = np.add.reduceat(weights[rows.slots[rows.start[a] : rows.start[b]]], rows.start[a:b] - rows.start[a], axis=0)
+    return out
 
 
 def train(rows: Rows, labels: np.ndarray, weight: np.ndarray | None = None, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, bits: int = BITS, seed: int = 11, use: np.ndarray | None = None) -> np.ndarray:
     """Weights by minibatch AdaGrad. ``labels``: (n,) or (n, classes) of 0..1; one-versus-rest for several classes. ``use``: the rows to train on."""
     y = labels.reshape(len(rows), -1).astype(np.float64)
     k = y.shape[1]
-    w, g2 = np.zeros((1 << bits, k)), np.full((1 << bits, k), 1e-8)
+    seen, place = np.unique(rows.slots, return_inverse=True)
+    own_rows = Rows(slots=place, n=rows.n)
+    w, g2 = np.zeros((len(seen), k)), np.full((len(seen), k), 1e-8)
     own = np.ones(len(rows)) if weight is None else weight
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(np.arange(len(rows)) if use is None else use)
         for at in np.array_split(order, max(1, len(order) // 512)):
-            slots, row = rows.take(at)
-            z = np.stack([np.bincount(row, w[slots, c], len(at)) for c in range(k)], 1)
+            if not len(at):
+                continue
+            slots, row = own_rows.take(at)
+            n = own_rows.n[at]
+            z = np.add.reduceat(w[slots], np.cumsum(n) - n, axis=0)
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) * own[at, None]
-            used, back = np.unique(slots, return_inverse=True)
-            for c in range(k):
-                g = np.bincount(back, error[row, c], len(used)) + l2 * w[used, c]
-                g2[used, c] += g * g
-                w[used, c] -= rate * g / np.sqrt(g2[used, c])
-    return w[:, 0] if labels.ndim == 1 else w
+            by = np.argsort(slots, kind="stable")
+            used, first = np.unique(slots[by], return_index=True)
+            g = np.add.reduceat(error[row[by]], first, axis=0) + l2 * w[used]
+            g2[used] += g * g
+            w[used] -= rate * g / np.sqrt(g2[used])
+    out = np.zeros((1 << bits, k))
+    out[seen] = w
+    return out[:, 0] if labels.ndim == 1 else out

@@ -42,6 +42,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return refine.formatting_copies(refine.records(_t(spark, d, "mentions"), _t(spark, d, "raw_mention"))).select("first_id", "copy_id")
 
 
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return refine.copy_counts(refine.records(_t(spark, d, "mentions"), _t(spark, d, "raw_mention")))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.twin_report(_t(spark, d, "mentions"), "row_id", ["mentions", "sentence"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.twin_pairs(lookalike.twin_classes(_t(spark, d, "mentions"), "row_id", ["mentions", "sentence"]))
 
@@ -70,11 +78,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(_t(spark, d, "documents"), _t(spark, d, "mix_target"))
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_report": p8_report, "p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p7_report": p7_report, "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
-SQL: dict[str, str] = {
-    "p5_found": """with r as (select row_id id, mentions, sentence, answer, "imgPath" p from mentions union all
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p4_found, p5_found, p5_report, p6_found, p6_report, p7_found, p7_report, p8_mixture, p8_report, p9_found, p9_report)}
+_COPIES = """with r as (select row_id id, mentions, sentence, answer, "imgPath" p from mentions union all
 select raw_id, json_extract_string(payload, '$.mentions'), json_extract_string(payload, '$.sentence'), json_extract_string(payload, '$.answer'), json_extract_string(payload, '$.imgPath') from raw_mention where json_valid(payload)),
 k as (select id, regexp_replace(lower(coalesce(mentions, '')), '[^\\p{L}\\p{M}\\p{N}]+', '', 'g') a, regexp_replace(lower(coalesce(sentence, '')), '[^\\p{L}\\p{M}\\p{N}]+', '', 'g') b,
 regexp_replace(lower(coalesce(answer, '')), '[^\\p{L}\\p{M}\\p{N}]+', '', 'g') c, regexp_replace(regexp_replace(lower(trim(coalesce(p, ''))), '[\\\\/]+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g') d from r),
-g as (select id, min(id) over (partition by a, b, c, d) first_id from k) select first_id, id as copy_id from g where id > first_id""",
+g as (select id, min(id) over (partition by a, b, c, d) first_id from k)"""
+SQL: dict[str, str] = {
+    "p5_found": f"{_COPIES} select first_id, id as copy_id from g where id > first_id",
+    "p5_report": f"{_COPIES} select first_id, count(*) as copies from g group by first_id",
 }
