@@ -12,10 +12,10 @@ from linkstrata.queries.catalogue import QUERIES, SQL
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9) + 0.0
+        return "nan" if math.isnan(v) else repr(round(v, 9))  # tells -0.0 from 0.0, as a hash does
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
-    return float(v) if type(v).__name__ == "Decimal" else v
+    return repr(round(float(v), 9)) if type(v).__name__ == "Decimal" else v
 
 
 @pytest.fixture(scope="module")
