@@ -1,4 +1,4 @@
-"""Problem 4: the k nearest vectors of every vector, by robust-pruned directed graphs in shards."""
+"""Problem 4: the k nearest vectors of every vector, by exact scans of shards of several independent partitions."""
 
 from __future__ import annotations
 
@@ -16,14 +16,17 @@ MOST_SHARDS = 4096
 """At most so many centres are fitted at once; cells of more than BIG x SHARD nodes get centres of their own."""
 BIG = 4
 SAMPLE = 12_000
+FOR_CENTRE = 8
+"""Centres are fitted on SAMPLE vectors, or on so many for each where that is more."""
 SUB_SAMPLE = 12
 """Vectors for each centre of a cell, SAMPLE a cell at most."""
 PROBES = 2
-DEGREE = 24
-BEAM = 40
-WIDTH = 8
-ALPHA = 1.1
-ENTRIES = 256
+MORE_TABLES = (64, 1024)
+"""Beyond so many cells there is one partition more each: a border between cells parts neighbours, and the more cells, the more borders."""
+BLOCK = 1024
+"""Queries of a shard that are scanned at once."""
+NEAR = 2e-6
+"""By how much products of unit vectors in float32 may be wrong."""
 ASKERS = 6
 """A task's share of a cell's queries is at most ASKERS x SHARD on average."""
 LOT = 20_000
@@ -64,9 +67,9 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+def centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
     """Spherical k-means with starts drawn from the sample, so dense regions get several centres."""
-    rng = np.random.default_rng(7)
+    rng = np.random.default_rng(seed)
     c = sample[rng.permutation(len(sample))[:k]].copy()
     for _ in range(rounds):
         home = (sample @ c.T).argmax(1)
@@ -77,139 +80,42 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-class Graph:
-    """Directed graph over the rows of a shard. Distances are taken from its matrix of inner products.
+def shard_neighbours(v: np.ndarray, asked: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine rounded to 9 decimals) for the ``keep`` nearest of the rows ``asked`` among all rows of ``v``, unit vectors; of ties the first rows.
 
-    Points are inserted in batches that double. For each a greedy beam search from the entry points proposes
-    the nodes it met; robust pruning keeps a node only if no kept one is ALPHA times nearer to it than the point is;
-    the reverse edges are added and pruned in the same way.
+    Products in float32 leave the candidates, also all that tie with the last; those are computed again in double.
     """
-
-    def __init__(self, sims: np.ndarray):
-        n = len(sims)
-        self.sims = sims
-        self.out = np.full((n, DEGREE), -1, np.int32)
-        order = np.random.default_rng(n).permutation(n).astype(np.int32)
-        self.entry = order[: min(n, ENTRIES)]
-        done = len(self.entry)
-        size = done
-        at = self.entry[: min(done, DEGREE)]
-        for i, x in enumerate(self.entry):
-            self.out[x, : len(at) - (i < len(at))] = at[at != x]
-        while done < n:
-            batch = order[done : done + size]
-            _, _, met = self.search(self.sims[batch], BEAM)
-            self.out[batch] = self.prune(batch, met)
-            self.link_back(batch)
-            done += len(batch)
-            size = min(done, max(1, n // 3))
-
-    def prune(self, at: np.ndarray, pool: np.ndarray) -> np.ndarray:
-        """At most DEGREE diverse neighbours for each of ``at`` out of its pool (-1: none)."""
-        sims, rows = self.sims, np.arange(len(at))
-        s = np.where((pool < 0) | (pool == at[:, None]), -np.inf, sims[at[:, None], pool])
-        by = np.argsort(-s, axis=1, kind="stable")[:, : 3 * DEGREE]
-        pool, s = pool[rows[:, None], by], s[rows[:, None], by]
-        s[:, 1:][pool[:, 1:] == pool[:, :-1]] = -np.inf
-        out = np.full((len(at), DEGREE), -1, np.int32)
-        alive = np.isfinite(s)
-        limit = 1.0 - (1.0 - s) / ALPHA**2
-        for r in range(DEGREE):
-            first = alive.argmax(1)
-            has = alive[rows, first]
-            if not has.any():
-                break
-            chosen = pool[rows, first]
-            out[has, r] = chosen[has]
-            alive &= sims[chosen[:, None], pool] < limit
-            alive[rows, first] = False
-        return out
-
-    def link_back(self, batch: np.ndarray) -> None:
-        to = self.out[batch]
-        src = np.repeat(batch, DEGREE)[to.ravel() >= 0]
-        dst = to.ravel()[to.ravel() >= 0]
-        order = np.lexsort((-self.sims[src, dst], dst))
-        src, dst = src[order], dst[order]
-        targets, start, count = np.unique(dst, return_index=True, return_counts=True)
-        place = np.arange(len(dst)) - np.repeat(start, count)
-        near = place < 2 * DEGREE
-        pool = np.full((len(targets), 3 * DEGREE), -1, np.int32)
-        pool[:, :DEGREE] = self.out[targets]
-        pool[np.repeat(np.arange(len(targets)), count)[near], DEGREE + place[near]] = src[near]
-        degree = (pool >= 0).sum(1)
-        few = degree <= DEGREE
-        packed = -np.sort(-pool, axis=1)
-        self.out[targets[few]] = packed[few][:, :DEGREE]
-        if (~few).any():
-            self.out[targets[~few]] = self.prune(targets[~few], pool[~few])
-
-    def search(self, sims: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, similarities, all nodes met) by beam search; ``sims``: queries x nodes inner products."""
-        q, n = sims.shape
-        rows = np.arange(q)[:, None]
-        seen = np.zeros((q, n + 1), bool)
-        seen[:, n] = True  # where -1 points
-        ids = np.full((q, beam), -1, np.int32)
-        val = np.full((q, beam), -np.inf, np.float32)
-        score = sims[:, self.entry]
-        by = np.argsort(-score, axis=1)[:, :beam]
-        ids[:, : by.shape[1]], val[:, : by.shape[1]] = self.entry[by], np.take_along_axis(score, by, 1)
-        seen[:, self.entry] = True
-        todo = ids >= 0
-        for _ in range(4 * beam):
-            take = todo & (np.cumsum(todo, axis=1) <= WIDTH)
-            if not take.any():
-                break
-            live = np.flatnonzero(take.any(1))
-            which = np.argsort(~take[live], axis=1, kind="stable")[:, :WIDTH]
-            on = take[live[:, None], which]
-            todo[live[:, None], which] = False
-            nodes = np.where(on, ids[live[:, None], which], -1)
-            near = np.where(nodes[:, :, None] < 0, -1, self.out[nodes]).reshape(len(live), -1)
-            near = np.sort(near, axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            near[seen[live[:, None], near]] = -1
-            width = max(1, int((near >= 0).sum(1).max()))
-            near = -np.partition(-near, width - 1, axis=1)[:, :width] if width < near.shape[1] else near
-            seen[live[:, None], near] = True
-            score = np.where(near < 0, -np.inf, sims[live[:, None], near])
-            all_ids = np.concatenate([ids[live], near], 1)
-            all_val = np.concatenate([val[live], score], 1)
-            all_todo = np.concatenate([todo[live], near >= 0], 1)
-            top = np.argsort(-all_val, axis=1)[:, :beam]
-            r = np.arange(len(live))[:, None]
-            ids[live], val[live], todo[live] = all_ids[r, top], all_val[r, top], all_todo[r, top]
-        return ids, val, ids
-
-
-def shard_neighbours(base: np.ndarray, asked: np.ndarray, own: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node, cosine) for the ``keep`` nearest that the shard's graphs give; ``own``: the query's place in base or -1.
-
-    A shard of more than 2 x SHARD nodes has a graph for every so many, and every query asks each of them.
-    """
-    out, beam = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)], max(BEAM, 4 * keep)
-    for first in range(0, len(base), 2 * SHARD):
-        part = base[first : first + 2 * SHARD]
-        graph = Graph(part @ part.T)
-        for at in range(0, len(own), SHARD):  # queries by the shardful, which bounds the matrix of similarities
-            mine = own[at : at + SHARD] - first
-            inside = (mine >= 0) & (mine < len(part)) & (own[at : at + SHARD] >= 0)
-            sims = np.empty((len(mine), len(part)), np.float32)
-            sims[inside] = graph.sims[mine[inside]]
-            sims[~inside] = asked[at : at + SHARD][~inside] @ part.T
-            ids, val, _ = graph.search(sims, beam)
-            val = np.where((ids == mine[:, None]) & inside[:, None], -np.inf, val)
-            top = np.argsort(-val, axis=1)[:, :keep]
-            r = np.arange(len(mine))[:, None]
-            ids, val = ids[r, top], val[r, top]
-            q, c = np.nonzero(np.isfinite(val))
-            out.append((q + at, ids[q, c].astype(np.int64) + first, val[q, c]))
+    f, n, out = v.astype(np.float32), len(v), [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+    for at in range(0, len(asked), BLOCK):
+        mine = asked[at : at + BLOCK]
+        sims = f[mine] @ f.T
+        sims[np.arange(len(mine)), mine] = -np.inf
+        last = np.partition(sims, n - keep, axis=1)[:, n - keep] if n > keep else np.full(len(mine), -2, np.float32)
+        near = sims >= np.maximum(last - NEAR, -2)[:, None]
+        many = near.sum(1) > 8 * keep
+        for b in np.array_split(np.flatnonzero(many), -(-int(many.sum()) // 64)) if many.any() else ():  # very many alike
+            exact = np.round(v[mine[b]] @ v.T, 9)
+            exact[~near[b]] = -np.inf
+            c = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
+            out.append((np.repeat(mine[b], c.shape[1]), c.ravel(), np.take_along_axis(exact, c, 1).ravel()))
+        near[many] = False
+        q, c = np.nonzero(near)
+        exact = np.round(np.concatenate([np.einsum("ij,ij->i", v[mine[q[i : i + 4096]]], v[c[i : i + 4096]]) for i in range(0, len(q), 4096)] or [np.zeros(0)]), 9)
+        order = np.lexsort((c, -exact, q))
+        q, c, exact = q[order], c[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        out.append((mine[q[place < keep]], c[place < keep], exact[place < keep]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _nearest_of(v: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
-    return np.argsort(-(v @ centre.T), axis=1, kind="stable")[:, :n]
+    """(vector, n): the n nearest centres, nearest first; of ties the first."""
+    s, n = v @ centre.T, min(n, len(centre))
+    out = np.empty((len(v), n), np.int64)
+    for r in range(n):
+        out[:, r] = s.argmax(1)
+        s[np.arange(len(v)), out[:, r]] = -np.inf
+    return out
 
 
 def _lots(ids: np.ndarray) -> np.ndarray:
@@ -236,57 +142,14 @@ def _asking(i: int, lot: int, cell: int, sub: int, lots: int, home: bool) -> lis
     return [(i, cell, sub, x, True, x == q) for x in range(lots)] if home else [(i, cell, sub, q, False, True)]
 
 
-def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
-    """(id, other, sim): for each usable vector its k nearest by cosine, in double and rounded to 9 decimals.
-
-    Vectors that are null, all zero, not finite or of another length than most take no part. Ties go to the
-    smaller id. Equal directions are one node of the graph; a node's rows are represented by their k + 1 smallest
-    ids, which is all that can enter a result, so copies of any number cost one row.
-    Shards are cells around centres fitted on at most SAMPLE vectors. A cell with more than BIG x SHARD nodes has centres of
-    its own, fitted where the cell is, so centres form a tree and no vector is sent more than 2 x PROBES times, however many there
-    are. Each vector is a node of its nearest cell's graph and asks the PROBES nearest cells; a cell that very many ask
-    takes their queries in lots of ASKERS x SHARD, each with its nodes.
-    """
-    spark = rows.sparkSession
-    data = rows.select(F.col(key).alias("id"), F.col(field).alias("v")).filter("id is not null and v is not null")
-    dims = data.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if not dims or not dims.d:
-        return spark.createDataFrame([], "id bigint, other bigint, sim double")
-    dim, total = dims.d, dims.n
-    share = min(1.0, 1.3 * SAMPLE / total)
-    by = F.xxhash64("id")
-    picked = data.filter(F.pmod(by, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(by, "id").limit(SAMPLE).select("v").toArrow()
-    at, sample = _matrix(picked.column("v"), dim)
-    if not len(at):
-        return spark.createDataFrame([], "id bigint, other bigint, sim double")
-    cells = int(min(MOST_SHARDS, max(1, round(total / SHARD)), len(sample)))
-    centre = centroids(unit(sample).astype(np.float32), cells)
-    probes = min(PROBES, cells)
+def _partition(single: DataFrame, centre: np.ndarray, sizes: np.ndarray, queries: np.ndarray, probes: int, dim: int, k: int) -> DataFrame:
+    """(node, list): the k + 1 nearest that each vector meets in each of its cells around ``centre``; ``sizes``, ``queries``: nodes and askers of each cell."""
+    big = sizes > BIG * SHARD
+    lots = np.where(big, -(-queries // LOT), np.maximum(1, -(-queries // (ASKERS * SHARD))))
 
     def place(v: np.ndarray) -> np.ndarray:
         return _nearest_of(unit(v).astype(np.float32), centre, probes)
 
-    def describe(batches):
-        for b in batches:
-            at, v = _matrix(b.column("v"), dim)
-            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in unit(v)]
-            cells_of = place(v).tolist() if len(at) else []
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(digest, pa.binary()), pa.array(cells_of, pa.list_(pa.int32()))], names=["id", "digest", "cells"])
-
-    # Which rows are copies, and how many nodes and queries each cell has; the vectors are read again for sending, which is less than to keep them.
-    ids = stage(data.mapInArrow(describe, "id long, digest binary, cells array<int>"), "p4-ids")
-    groups = ids.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("cells").alias("cells"))
-    groups = stage(groups, "p4-groups")
-    asks = {(r.cell, r.pos): r["count"] for r in groups.select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell", "pos").count().collect()}  # by cell, PROBES x MOST_SHARDS at most
-    sizes = np.array([asks.get((c, 0), 0) for c in range(cells)])
-    queries = np.array([sum(asks.get((c, r), 0) for r in range(probes)) for c in range(cells)])
-    big = sizes > BIG * SHARD
-    lots = np.where(big, -(-queries // LOT), np.maximum(1, -(-queries // (ASKERS * SHARD))))
-    nodes = join_by_count(ids, groups.select("digest", "node", "n"), ["digest"], "n", total).select("id", "node", "n")
-    nodes = stage(nodes, "p4-nodes")
-    dropped = stage(nodes.filter("id <> node").select("id"), "p4-dropped")
-    single = data.join(small(dropped), "id", "left_anti") if dropped.head(1) else data
-
     def send(batches, want_big=False):
         for b in batches:
             at, v = _matrix(b.column("v"), dim)
@@ -303,25 +166,17 @@ def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
             yield _sent(rows, own, load)
 
     def search(table: pa.Table) -> pa.Table:
-        node, base, ask = (table.column(c).to_numpy() for c in ("node", "base", "ask"))
-        order = np.lexsort((node, ~base))
-        node, base, ask = node[order], base[order], ask[order]
-        n, q_at = int(base.sum()), np.flatnonzero(ask)
-        if not n or not len(q_at):
-            return pa.table({"node": pa.array([], pa.int64()), "list": pa.array([], LIST)})
+        node, ask = (table.column(c).to_numpy() for c in ("node", "ask"))
+        order = np.argsort(node, kind="stable")
+        node, ask = node[order], ask[order]
         raw = table.column("payload").combine_chunks()
         v = unit(unpack([raw[int(i)].as_py() for i in order]))
-        f = v.astype(np.float32)
-        q, c, _ = shard_neighbours(f[:n], f if len(q_at) == len(f) else f[q_at], np.where(q_at < n, q_at, -1), k + 1)
-        q = q_at[q]
-        exact = np.concatenate([np.einsum("ij,ij->i", v[q[i : i + 4096]], v[c[i : i + 4096]]) for i in range(0, len(q), 4096)] or [np.zeros(0)])
-        # What x finds of y is as true of y.
-        src, dst, far = np.concatenate([q, c]), np.concatenate([c, q]), np.tile(-np.round(exact, 9), 2)
+        src, dst, exact = shard_neighbours(v, np.flatnonzero(ask), k + 1)
+        # What x finds of y is as true of y, which may ask in another lot.
+        other = ~ask[dst]
+        src, dst, far = np.concatenate([src, dst[other]]), np.concatenate([dst, src[other]]), -np.concatenate([exact, exact[other]])
         order = np.lexsort((node[dst], far, src))
         src, dst, far = src[order], dst[order], far[order]
-        fresh = np.ones(len(src), bool)
-        fresh[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
-        src, dst, far = src[fresh], dst[fresh], far[fresh]
         first = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])) if len(src) else np.zeros(0, np.int64)
         place = np.arange(len(src)) - np.repeat(first, np.diff(np.concatenate([first, [len(src)]])))
         src, dst, far = (x[place <= k] for x in (src, dst, far))
@@ -368,11 +223,71 @@ def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
         every = F.transform(F.sequence(F.lit(0), (F.length("centres") / (4 * dim) - 1).cast("int")), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(1)))
         sub = stage(sub.join(n, "cell").withColumn("many", every).drop("n"), "p4-centres")
         sent = sent.unionByName(far.cogroup(sub.groupBy("cell", "lot")).applyInArrow(split, SENT))
-    near = sent.groupBy("cell", "sub", "lot").applyInArrow(search, "node long, list array<struct<far: double, other: long>>")
+    return sent.groupBy("cell", "sub", "lot").applyInArrow(search, "node long, list array<struct<far: double, other: long>>")
+
+
+def nearest(rows: DataFrame, key: str, field: str, k: int = 5) -> DataFrame:
+    """(id, other, sim): for each usable vector its k nearest by cosine, in double and rounded to 9 decimals.
+
+    Vectors that are null, all zero, not finite or of another length than most take no part. Ties go to the
+    smaller id. Equal directions are one node; a node's rows are represented by their k + 1 smallest
+    ids, which is all that can enter a result, so copies of any number cost one row.
+    Shards are cells around centres fitted on SAMPLE vectors, or FOR_CENTRE for each. A cell with more than BIG x SHARD nodes has centres of
+    its own, fitted where the cell is, so centres form a tree and a partition sends no vector more than 2 x PROBES times, however many there
+    are. Each vector goes to its PROBES nearest cells, where all that meet are compared; a cell that very many ask
+    takes their queries in lots of ASKERS x SHARD, each with the nodes that are nearest to it. Many cells have many borders, which part
+    neighbours, so beyond MORE_TABLES cells further partitions with other centres follow, one after the other.
+    """
+    spark = rows.sparkSession
+    data = rows.select(F.col(key).alias("id"), F.col(field).alias("v")).filter("id is not null and v is not null")
+    dims = data.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("nodes")).orderBy(F.desc("n"), "d").first()
+    if not dims or not dims.d:
+        return spark.createDataFrame([], "id bigint, other bigint, sim double")
+    dim, total = dims.d, dims.n
+    cells = int(min(MOST_SHARDS, max(1, round(min(dims.nodes, total) / SHARD))))
+    tables = 1 + sum(cells > x for x in MORE_TABLES)
+    most = max(SAMPLE, FOR_CENTRE * cells)
+    share = min(1.0, 1.3 * most / total)
+    by = F.xxhash64("id")
+    picked = data.filter(F.pmod(by, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(by, "id").limit(most).select("v").toArrow()
+    at, sample = _matrix(picked.column("v"), dim)
+    del picked
+    if not len(at):
+        return spark.createDataFrame([], "id bigint, other bigint, sim double")
+    cells = min(cells, len(sample))
+    sample = unit(sample).astype(np.float32)
+    centres = [centroids(sample, cells, seed=7 + t) for t in range(tables)]
+    probes = min(PROBES, cells)
+
+    def describe(batches):
+        for b in batches:
+            at, v = _matrix(b.column("v"), dim)
+            v = unit(v)
+            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in v]
+            f = v.astype(np.float32)
+            cells_of = np.concatenate([_nearest_of(f, c, probes) for c in centres], 1).tolist() if len(at) else []
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(digest, pa.binary()), pa.array(cells_of, pa.list_(pa.int32()))], names=["id", "digest", "cells"])
+
+    # Which rows are copies, and how many nodes and queries each cell has; the vectors are read again for sending, which is less than to keep them.
+    ids = stage(data.mapInArrow(describe, "id long, digest binary, cells array<int>"), "p4-ids")
+    groups = ids.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("cells").alias("cells"))
+    groups = stage(groups, "p4-groups")
+    asks = {(r.cell, r.pos): r["count"] for r in groups.select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell", "pos").count().collect()}  # by cell, tables x PROBES x MOST_SHARDS at most
+    nodes = join_by_count(ids, groups.select("digest", "node", "n"), ["digest"], "n", total).select("id", "node", "n")
+    nodes = stage(nodes, "p4-nodes")
+    dropped = stage(nodes.filter("id <> node").select("id"), "p4-dropped")
+    single = data.join(small(dropped), "id", "left_anti") if dropped.head(1) else data
     # k + 1 nodes are enough, also where similarities tie: a node's smallest id stands for it, and what is left out has larger ones.
     merge = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
-    near = near.groupBy("node").agg(merge(F.flatten(F.collect_list("list"))).alias("list"))  # a list a cell it asked
-    near = stage(near, "p4-near")
+    near = None
+    for t, centre in enumerate(centres):
+        sizes = np.array([asks.get((c, t * probes), 0) for c in range(cells)])
+        queries = np.array([sum(asks.get((c, t * probes + r), 0) for r in range(probes)) for c in range(cells)])
+        one = _partition(single, centre, sizes, queries, probes, dim, k).groupBy("node").agg(merge(F.flatten(F.collect_list("list"))).alias("list"))  # a list a cell it asked
+        one = stage(one, "p4-near")
+        near = one if near is None else near.unionByName(one)
+    if tables > 1:
+        near = stage(near.groupBy("node").agg(merge(F.flatten(F.collect_list("list"))).alias("list")), "p4-near")
     several = nodes.filter("n > 1").select("node", "id", F.row_number().over(Window.partitionBy("node").orderBy("id")).alias("r"))
     several = several.filter(f"r <= {k + 1}").groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("first"))
     several = stage(several, "p4-first")

@@ -363,6 +363,17 @@ def test_nearest_follows_k(spark, k):
     assert len(set(found(graph.nearest_pairs(df, "cache_id", ["v"], k), "id_a", "id_b")) & want) >= 0.97 * len(want)
 
 
+def test_many_cells_part_few_neighbours(spark, monkeypatch):
+    """Groups of eight in 150 cells of 20, which have many borders."""
+    monkeypatch.setattr(graph, "SHARD", 20)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(375, 64))
+    x = (np.repeat(centre, 8, axis=0) + 0.8 * rng.normal(size=(3000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "cache_id bigint, v array<float>")
+    want = brute(list(range(3000)), x.astype(float))
+    assert len(set(found(graph.nearest_pairs(df, "cache_id", ["v"]), "id_a", "id_b")) & want) >= 0.97 * len(want)
+
+
 def test_pack_is_lossless():
     v = np.random.default_rng(1).normal(size=(7, 13)).astype(np.float32)
     assert (graph.unpack(graph.pack(v)) == v).all()
