@@ -1,4 +1,4 @@
-"""Logistic regression on hashed features, trained in numpy on the driver from a bounded sample."""
+"""Logistic regression on hashed features, trained in numpy: on the driver from a bounded sample (``train``), or on a part of all rows for several folds at once (``train_folds``)."""
 
 from __future__ import annotations
 
@@ -69,3 +69,41 @@ def train(rows: Rows, labels: np.ndarray, weight: np.ndarray | None = None, epoc
     out = np.zeros((1 << bits, k))
     out[seen] = w
     return out[:, 0] if labels.ndim == 1 else out
+
+
+def train_folds(rows: Rows, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray, folds: int, epochs: int, rate: float, l2: float, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``train`` for each of several folds on the rows of the others, or on all rows for one; the minibatches stay the same, their order changes.
+
+    Returns the slots that any row has, for each fold how many of its rows have each, and its weights: (slots,), (folds, slots), (folds, slots, classes).
+    """
+    k = labels.shape[1]
+    has = np.zeros(1 << bits, bool)
+    has[rows.slots] = True
+    seen = np.flatnonzero(has)
+    local = np.cumsum(has) - 1
+    owned = Rows(slots=local[rows.slots], n=rows.n)
+    keep = (fold[:, None] != np.arange(folds)) | (folds == 1)
+    times = np.stack([np.bincount(owned.slots, np.repeat(keep[:, f], rows.n), len(seen)) for f in range(folds)])
+    rng = np.random.default_rng(seed)
+    lots, place = [], np.zeros(len(seen), np.intp)
+    for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 512)):
+        slots, row = owned.take(at)
+        by = np.sort(slots << 10 | row)  # fewer than 1024 rows
+        first = np.flatnonzero(np.diff(by >> 10, prepend=-1))
+        used = by[first] >> 10
+        place[used] = np.arange(len(used))
+        n = owned.n[at]
+        lots.append((at, used, place[slots], np.cumsum(n) - n, by & 1023, first))
+    w, g2 = np.zeros((len(seen), folds * k), np.float32), np.full((len(seen), folds * k), 1e-8, np.float32)
+    y, own = labels.astype(np.float32), (keep * weight[:, None]).astype(np.float32)
+    for _ in range(epochs if len(rows) else 0):
+        for i in rng.permutation(len(lots)):
+            at, used, slots, start, row, first = lots[i]
+            now = w[used]
+            z = np.add.reduceat(now.take(slots, 0), start, axis=0).reshape(len(at), folds, k)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at, None]) * own[at, :, None]
+            g = np.add.reduceat(error.reshape(len(at), -1).take(row, 0), first, axis=0) + np.float32(l2) * now
+            past = g2[used] + g * g
+            g2[used] = past
+            w[used] = now - np.float32(rate) * g / np.sqrt(past)
+    return seen, times, w.reshape(len(seen), folds, k).transpose(1, 0, 2)
